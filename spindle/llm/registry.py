@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pair_queries", "record_queries", "corpus_queries", "encoding_queries")
+MODULES = ("pair_queries", "record_queries", "scan_queries", "corpus_queries", "encoding_queries")
 
 
 def _gather(attribute: str) -> dict:
