@@ -108,7 +108,11 @@ def dataset_report(samples: DataFrame) -> DataFrame:
         "task_type": F.array(t(F.col("task_type"))), "modality": F.array(t(F.col("modality"))), "core_entity": F.array(t(F.col("metadata.core_entity"))),
         "file": F.array_distinct(F.transform("evidence", lambda e: e["file_path"])), "reason": F.split(F.col("quality.reason"), r"\|"),
     }
-    entries = F.flatten(F.array(*[F.transform(F.coalesce(v, F.array().cast("array<string>")), lambda x, k=k: F.struct(F.lit(k).alias("part"), x.alias("name"))) for k, v in parts.items()]))
+
+    def entry(part: str):
+        return lambda x: F.struct(F.lit(part).alias("part"), x.alias("name"))
+
+    entries = F.flatten(F.array(*[F.transform(F.coalesce(v, F.array().cast("array<string>")), entry(k)) for k, v in parts.items()]))
     e = samples.select(F.explode(entries).alias("e")).select("e.*").filter(F.col("name").isNotNull() & (F.trim("name") != ""))
     return e.groupBy("part", "name").agg(F.count(F.lit(1)).alias("n"))
 

@@ -113,20 +113,19 @@ def similar_names(nodes: DataFrame, least: float = 0.86) -> DataFrame:
     """kb_id, entity_type, a, b, similarity of different names of one type that are alike.
 
     Similarity is 1 for names equal but for marks, else the greater of matching blocks and bigram
-    cosine. Only names that share a rare enough part can reach least: two names within it share at
-    least one of the leading bigrams in the order of rarity (prefix filtering), which the equi-join
-    uses. Names are distinct per kb and type; no bigram group is paired in whole but through it.
+    cosine. Two names that reach least leave at most u characters of either unmatched, so that they
+    share one of the u + 1 rarest characters of each, on which the equi-join runs (prefix filtering). Names are distinct per kb and type.
     """
     n = nodes.select("kb_id", "entity_type", F.col("name").alias("a")).distinct().withColumn("k", compare_name(F.col("a"))).filter(F.col("k") != "")
-    grams = n.withColumn("g", F.explode(F.expr("array_distinct(case when length(k) < 2 then array(k) else transform(sequence(1, length(k) - 1), i -> substring(k, i, 2)) end)")))
+    grams = n.withColumn("g", F.explode(F.array_distinct(F.split("k", "(?!^)(?=.)"))))
     df = grams.groupBy("kb_id", "entity_type", "g").agg(F.count(F.lit(1)).alias("df"))
-    ranked = grams.join(df, ["kb_id", "entity_type", "g"]).withColumn("size", F.count("g").over(Window.partitionBy("kb_id", "entity_type", "a")))
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("kb_id", "entity_type", "a").orderBy("df", "g")))
-    # so many of the rarest must be looked at that a name sharing none of them is too different
-    prefix = ranked.filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * (2 * least - 1)) + 1)
+    ranked = grams.join(df, ["kb_id", "entity_type", "g"]).withColumn("rank", F.row_number().over(Window.partitionBy("kb_id", "entity_type", "a").orderBy("df", "g")))
+    longest = F.floor(F.length("k") / (least * least))
+    prefix = ranked.filter(F.col("rank") <= F.floor((1 - least) * (F.length("k") + longest) + 1e-6) + 1)
     left = prefix.select("kb_id", "entity_type", "g", "a", F.col("k").alias("ka"))
     right = prefix.select("kb_id", "entity_type", "g", F.col("a").alias("b"), F.col("k").alias("kb"))
-    pairs = left.join(right, ["kb_id", "entity_type", "g"]).filter((F.col("a") < F.col("b")) & (F.least(F.length("ka"), F.length("kb")) >= F.greatest(F.length("ka"), F.length("kb")) * (least / (2 - least)))).drop("g").distinct()
+    near = F.least(F.length("ka"), F.length("kb")) >= F.greatest(F.length("ka"), F.length("kb")) * (least * least)
+    pairs = left.join(right, ["kb_id", "entity_type", "g"]).filter((F.col("a") < F.col("b")) & near).drop("g").distinct()
     s = F.when(F.col("ka") == F.col("kb"), 1.0).otherwise(F.greatest(sequence_ratio("ka", "kb"), bigram_cosine(F.col("ka"), F.col("kb"))))
     return pairs.withColumn("similarity", s).filter(F.col("similarity") >= least).select("kb_id", "entity_type", "a", "b", "similarity")
 

@@ -93,7 +93,7 @@ def graph_degrees(spark, d):
 
 
 def graph_similar_names(spark, d):
-    s = G.similar_names(_merged(spark, d), 0.86)
+    s = G.similar_names(_merged(spark, d), 0.8)
     return s.select("kb_id", "entity_type", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
@@ -103,7 +103,7 @@ def graph_components(spark, d):
 
 
 def graph_resolution(spark, d):
-    return G.resolution(_merged(spark, d), 0.86)
+    return G.resolution(_merged(spark, d), 0.8)
 
 
 def _pack_chunks(spark, d):
@@ -225,6 +225,9 @@ ORACLE_SQL = {
     "graph_clean_edges": _N + ", k as (select kb_id, name from m where entity_type in ('虫害','病害','作物','病原菌','药剂','生长期','生物分类','时间','部位','多模态元素')) select edge_id, er.kb_id, source, target, relation from er where relation <> '' and exists (select 1 from k where k.kb_id = er.kb_id and k.name = er.source) and exists (select 1 from k where k.kb_id = er.kb_id and k.name = er.target)",
     "graph_summary": _N + r"select kb_id, 'entity_type' part, entity_type as name, count(*) n from m group by 1, 3 union all select kb_id, 'relation', relation, count(*) from er group by 1, 3 union all select kb_id, 'script', case when regexp_matches(name, '[\x{4e00}-\x{9fff}]') then 'cjk' else 'other' end, count(*) from m group by 1, 3",
     "graph_degrees": _N + ", i as (select kb_id, source as name, target other, edge_id from e union all select kb_id, target, source, edge_id from e where source <> target) select kb_id, name, count(*) degree, count(distinct other) n_neighbours from i group by 1, 2",
+    "graph_components": """with recursive e as (select distinct kb_id || '/' || source a, kb_id || '/' || target b from graphedge where source is not null and target is not null and kb_id is not null and source <> target),
+      u as (select a, b from e union select b, a from e), r(node, seen) as (select a, a from u union select r.node, u.b from r join u on u.a = r.seen)
+      select node, min(seen) component from r group by 1""",
     "graph_subgraph_nodes": _N + "select kb_id, node_id from (select n.kb_id, n.node_id, row_number() over (partition by n.kb_id order by n.node_id) r from n join nh on nh.kb_id = n.kb_id and nh.name = n.id) where r <= 180",
     "graph_subgraph_edges": _N + "select kb_id, edge_id from (select kb_id, edge_id, row_number() over (partition by kb_id order by edge_id) r from eh) where r <= 360",
     "search_top_k": _N + "select query_id, vec_id, round(score, 5) score, rank from hits",
@@ -233,5 +236,5 @@ ORACLE_SQL = {
     "search_hybrid": _N + ", u as (select query_id, kb_id || '/' || name item, min(rank) rank, 0 s from hn group by 1, 2 union all select query_id, kb_id || '/' || name, rank, 1 from gl), f as (select query_id, item, min(rank * 2 + s) o from u group by 1, 2) select query_id, item, row_number() over (partition by query_id order by o, item) position from f",
     "search_chunks": _N + "select query_id, chunk_id, n, rank from cw",
     "search_context": _N + ", x as (select query_id, cw.chunk_id, rank, length(content) l, coalesce(sum(length(content)) over (partition by query_id order by rank rows between unbounded preceding and 1 preceding), 0) used from cw join ch on ch.chunk_id = cw.chunk_id and not gone) select query_id, chunk_id, rank, least(l, 600 - used) n_chars from x where used < 600",
-    "search_citations": _N + r", a as (select distinct pack_id, lower(unnest(regexp_extract_all(array_to_string(list_transform(evidence, z -> 'see ' || coalesce(z.chunk_id, '')), '; '), '(?i)\bchunk-[0-9a-f]{32}\b'))) k from (select distinct pack_id, evidence from evidencepack)) select pack_id answer_id, k chunk_id, coalesce(c.page_idx, -1) page_idx, length(c.content[1:320]) n_chars from a left join (select * from ch where not gone) c on c.chunk_id = a.k",
+    "search_citations": _N + r", a as (select distinct pack_id, lower(unnest(regexp_extract_all(array_to_string(list_transform(evidence, lambda z: 'see ' || coalesce(z.chunk_id, '')), '; '), '(?i)\bchunk-[0-9a-f]{32}\b'))) k from (select distinct pack_id, evidence from evidencepack)) select pack_id answer_id, k chunk_id, coalesce(c.page_idx, -1) page_idx, length(c.content[1:320]) n_chars from a left join (select * from ch where not gone) c on c.chunk_id = a.k",
 }

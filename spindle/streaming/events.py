@@ -11,8 +11,12 @@ from spindle.session import shared_dir
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
+    """New files of a folder as they come; a path to one file is the stream of that file."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    return stream.parquet(path) if folder else stream.option("pathGlobFilter", at.getName()).parquet(path.rpartition("/")[0])
 
 
 def upsert_sink(df: DataFrame, apply: Callable[[DataFrame, int], None], name: str):
