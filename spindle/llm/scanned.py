@@ -208,7 +208,7 @@ def latin_corrections(words: DataFrame) -> DataFrame:
     enough = F.when(mixed, F.col("m") >= RATIO_MIXED * F.col("n")).otherwise((F.length("word") >= 3) & (F.col("m") >= RATIO * F.col("n")))
     return (
         odd.join(frequent, "h").filter((F.col("word") != F.col("correct")) & enough & (folded(F.col("word")) == folded(F.col("correct"))))
-        .groupBy("word").agg(F.max(F.struct(-F.col("errors"), "m", "correct"))["correct"].alias("correct"))
+        .groupBy("word").agg(F.max(F.struct("m", -F.col("errors"), "correct"))["correct"].alias("correct"))
     )
 
 
