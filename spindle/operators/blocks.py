@@ -101,8 +101,8 @@ def block_key() -> Column:
 
 
 def document_ids(blocks: DataFrame) -> DataFrame:
-    """file_path and doc_id, a hash of the content in order; blank keys don't count."""
-    key = F.when(block_key() != "", F.struct("block_idx", block_key().alias("k")))
+    """file_path and doc_id, a hash of the hashes of its blocks in order; blank blocks don't count. Only hashes are gathered."""
+    key = F.when(block_key() != "", F.struct("block_idx", F.md5(block_key()).alias("k")))
     return blocks.groupBy("file_path").agg(F.concat(F.lit("doc-"), F.md5(F.array_join(F.array_sort(F.collect_list(key))["k"], "\n"))).alias("doc_id"))
 
 

@@ -20,9 +20,23 @@ def keys_of(c: str) -> Column:
     return F.array_distinct(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""))
 
 
-def _union_keys(keys: str, order: Column) -> Column:
-    ordered = F.array_sort(F.collect_list(F.struct(order.alias("o"), keys_of(keys).alias("k"))))
-    return F.array_distinct(F.flatten(ordered["k"]))
+def union_keys(df: DataFrame, by: list[str], order: str) -> DataFrame:
+    """The columns by and source_ids: all keys of a group, each once in first order.
+
+    Keys are made distinct before a group comes together, so that a group of many rows holds no more than its keys.
+    """
+    each = df.select(*by, order, F.posexplode(keys_of("source_ids")).alias("place", "key"))
+    first = each.groupBy(*by, "key").agg(F.min(F.struct(order, "place")).alias("at"))
+    return first.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "key")))["key"].alias("source_ids"))
+
+
+def _with_keys(merged: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
+    k = keys.select(*[F.col(c).alias(f"_{c}") for c in by], "source_ids")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    out = merged.join(k, same, "left").drop(*[f"_{c}" for c in by])
+    return out.withColumn("source_ids", F.coalesce("source_ids", F.array().cast("array<string>")))
 
 
 def merge_nodes(nodes: DataFrame, order: str, o: Ontology = DEFAULT) -> DataFrame:
@@ -30,11 +44,12 @@ def merge_nodes(nodes: DataFrame, order: str, o: Ontology = DEFAULT) -> DataFram
     named = nodes.withColumn("name", entity_name(F.col("id"))).withColumn("kind", consistent_type(F.col("id"), F.col("entity_type"), o))
     at = F.col(order)
     firsts = lambda value, cond: F.min_by(F.when(cond, value), F.when(cond, at))
-    return named.groupBy("kb_id", "name").agg(
+    merged = named.groupBy("kb_id", "name").agg(
         F.coalesce(firsts(F.col("kind"), F.col("kind") != o.other_type), F.lit(o.other_type)).alias("entity_type"),
         F.coalesce(firsts(squeeze(F.col("description")), squeeze(F.col("description")) != ""), F.lit("")).alias("description"),
-        _union_keys("source_ids", at).alias("source_ids"), F.count(F.lit(1)).alias("n_merged"),
+        F.count(F.lit(1)).alias("n_merged"),
     )
+    return _with_keys(merged, union_keys(named, ["kb_id", "name"], order), ["kb_id", "name"])
 
 
 def endpoint_types(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -62,10 +77,12 @@ def remap(edges: DataFrame, names: DataFrame) -> DataFrame:
 def merge_edges(edges: DataFrame, order: str, relation: str = "relation") -> DataFrame:
     """One edge per kb_id, source, target and relation: the greatest weight, the first description, all keys in order."""
     said = squeeze(F.col("description"))
-    return edges.groupBy("kb_id", "source", "target", relation).agg(
+    by = ["kb_id", "source", "target", relation]
+    merged = edges.groupBy(*by).agg(
         F.max("weight").alias("weight"), F.coalesce(F.min_by(F.when(said != "", said), F.when(said != "", F.col(order))), F.lit("N/A")).alias("description"),
-        _union_keys("source_ids", F.col(order)).alias("source_ids"), F.count(F.lit(1)).alias("n_merged"),
+        F.count(F.lit(1)).alias("n_merged"),
     )
+    return _with_keys(merged, union_keys(edges, by, order), by)
 
 
 def with_both_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -123,7 +123,7 @@ ORACLE_SQL = {
       else 'Table Analysis:' || chr(10) || 'Image Path: ' || coalesce(img_path, '') || chr(10) || 'Caption: ' || {_SHOWN.format('table_caption')} || chr(10) || 'Structure: ' || coalesce(table_body, '') || chr(10) || 'Footnotes: ' || {_SHOWN.format('table_footnote')} end) chunk_id,
       file_path, block_idx, page_idx, type original_type from b where type in ('image', 'table')""",
     "block_document_ids": _B + """, k as (select file_path, block_idx, case when type = 'text' then trim(coalesce(text, ''), ' ') when type = 'image' then 'image:' || coalesce(img_path, '') when type = 'table' then 'table:' || coalesce(table_body, '') else type || ':' || coalesce(text, '') end k from b)
-      select file_path, 'doc-' || md5(coalesce(string_agg(k, chr(10) order by block_idx, k) filter (k <> ''), '')) doc_id from k group by 1""",
+      select file_path, 'doc-' || md5(coalesce(string_agg(md5(k), chr(10) order by block_idx, md5(k)) filter (k <> ''), '')) doc_id from k group by 1""",
     "block_signatures": _B + """, h as (select file_path, block_idx, md5(type || '|' || coalesce(img_path, '') || '|' || coalesce(table_body, '') || '|' || array_to_string(coalesce(image_caption, []), ',') || '|' || block_idx) h from b where type <> 'text')
       select file_path, md5(string_agg(h, '||' order by block_idx, h)) signature, count(*) n_items from h group by 1""",
     "block_paths": _B + r"""select block_id, regexp_extract(img_path, '([^/\\]*)$', 1) file_name, lower(regexp_extract(img_path, '(\.[^./\\]+)$', 1)) suffix, regexp_matches(lower(img_path), 'qr|二维码') qr from b where img_path is not null""",

@@ -58,4 +58,4 @@ def test_entry():
     import __spark_entry__ as e
 
     q, s = e.queries(), e.oracle_sql()
-    assert set(s) <= set(q) and len(q) > 60
+    assert set(s) <= set(q) and len(q) > 50
