@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The folder of this process where the cluster names none.
 _own: list[str] = []
+#: Tables that this process wrote.
+_written: list[str] = []
 
 
 def local_session(cores: int | str = "*", name: str = "spindle", partitions: int = 8) -> SparkSession:
@@ -45,9 +47,19 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet into the shared folder and reads it back.
 
-    The files outlive the loss of executors. They are removed with the folder.
+    The files outlive the loss of executors. clean() removes those of this process, once their results are no longer read.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> int:
+    """Removes the tables that this process wrote; how many there were."""
+    n = len(_written)
+    while _written:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return n

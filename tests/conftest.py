@@ -8,9 +8,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 @pytest.fixture(scope="session")
 def spark():
-    from spindle.session import local_session
+    from spindle.session import clean, local_session
 
     s = local_session(4, "tests", 4)
     s.sparkContext.setLogLevel("OFF")
     yield s
+    clean(s)
     s.stop()

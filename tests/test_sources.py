@@ -1,4 +1,5 @@
 import json
+import uuid
 
 from pyspark.sql import functions as F, types as T
 
@@ -50,7 +51,7 @@ def test_streams_equal_batches(spark, tmp_path):
     assert {tuple(r) for r in streamed_metrics(spark, path, "m1").collect()} == {tuple(r) for r in event_metrics(batch).collect()}
     assert {tuple(r) for r in streamed_windows(spark, path, "w1").collect()} == {tuple(r) for r in windowed_counts(batch).collect()}
     seen = []
-    upsert_sink(event_stream(spark, path, 2).groupBy("event_type").agg(F.count("*").alias("n")), lambda df, i: seen.append(df.count()), tmp_path.name).awaitTermination()
+    upsert_sink(event_stream(spark, path, 2).groupBy("event_type").agg(F.count("*").alias("n")), lambda df, i: seen.append(df.count()), uuid.uuid4().hex).awaitTermination()
     assert sum(seen) >= 2
 
 
