@@ -6,7 +6,8 @@ one character left out. Words split at line ends are told from broken compounds
 the corpus has the joined and the hyphenated form. Misread words are found by anagram hashes:
 the hash of a word is the sum of a power of its character codes, so that a confusion of look-
 alikes shifts it by a fixed difference, and rare words join their frequent variants on equal
-shifted hashes, which are then verified and ranked.
+shifted hashes, which are then verified and ranked. Misread Chinese characters are found by what
+stands around them: a rare window joins the frequent ones that differ from it in one character.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ HAN_CONFUSIONS = (
 ).split()
 #: Errors that a word may hold; how many times as frequent a variant must be, for words of letters and for words with digits.
 MOST_ERRORS, RATIO, RATIO_MIXED, LEAST = 3, 8, 2, 3
-POWER, POWER_HAN = 5, 3
+#: Part of a character's occurrences that must look like another's for a pair that isn't listed.
+SUPPORT = 0.5
+POWER = 5
+HAN = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}]"
 MARKS = r"[\s\p{Z}()\[\]（）【】〔〕〈〉<>«»=_:：~～*|/※•·.,，。．…\-‐‑‒–—―−]"
 HYPHEN = r"[-‐‑¬\x{ad}⁃﹣－]"
 WORD = r"[A-Za-z0-9]+"
@@ -212,32 +216,42 @@ def latin_corrections(words: DataFrame) -> DataFrame:
     )
 
 
-def han_windows(texts: DataFrame) -> DataFrame:
-    """Windows of three characters around each character that may be misread or a reading's original: block_id, unit, window, at."""
-    chars = "".join(HAN_CONFUSIONS)
+def han_contexts(texts: DataFrame) -> DataFrame:
+    """block_id, unit, context: every Chinese character with the two characters before and after it."""
     padded = F.concat(F.lit("^^"), F.regexp_replace("text", r"[0-9]+", "0"), F.lit("$$"))
-    t = texts.filter(F.col("text").rlike(f"[{chars}]")).withColumn("p", padded)
-    places = F.expr(f"filter(sequence(3, length(p) - 2), i -> instr('{chars}', substring(p, i, 1)) > 0)")
-    t = t.withColumn("i", F.explode(places)).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    return t.select("block_id", "unit", F.expr("substring(p, i - k, 3)").alias("window"), F.col("k").alias("at"))
+    return texts.filter(F.col("text").rlike(HAN)).select("block_id", "unit", F.explode(F.regexp_extract_all(padded, F.lit(rf"(?s)(?=([^\p{{Cs}}].{HAN}..))"), 1)).alias("context"))
 
 
-def han_corrections(windows: DataFrame) -> DataFrame:
-    """window, at, correct: windows whose character at that place is a reading of one that is far more frequent there."""
-    counts = windows.groupBy("window", "at").agg(F.count(F.lit(1)).alias("n"))
-    table = windows.sparkSession.createDataFrame(
-        [(s, t, _value(s, POWER_HAN) - _value(t, POWER_HAN)) for t, s in HAN_CONFUSIONS], "seen string, printed string, shift long"
+def han_corrections(counts: DataFrame, name: str = "han") -> DataFrame:
+    """context, window, correct: windows of three characters in which one is a reading of another that is far more frequent there.
+
+    counts has context and n. Every rare window is joined to the frequent ones that differ from it in
+    the character at one place alone. Such a pair of characters is a confusion if it is listed, or if
+    the corpus supports it: in several contexts, and for half of all that is seen of the character,
+    two or more of the three windows around it are those of the other.
+    """
+    window = lambda k: F.struct(F.lit(k).alias("at"), F.col("context").substr(3 - k, 3).alias("window"))
+    windows = counts.select("context", "n", F.explode(F.array(*map(window, range(3)))).alias("w")).select("context", "n", "w.*")
+    known = windows.groupBy("window", "at").agg(F.sum("n").alias("n"))
+    known = known.withColumn("char", F.expr("substring(window, at + 1, 1)")).withColumn("around", F.expr("overlay(window placing '_' from at + 1)"))
+    frequent = known.filter(F.col("n") >= LEAST).select("around", "at", F.col("char").alias("printed"), F.col("window").alias("correct"), F.col("n").alias("m"))
+    rarer = written(
+        known.withColumnRenamed("char", "seen").join(frequent, ["around", "at"]).filter(F.col("m") >= RATIO * F.col("n"))
+        .select("window", "at", "seen", "printed", "correct", "m"),
+        f"{name}-rarer",
     )
-    hashed = counts.withColumn("h", anagram_hash(F.col("window"), POWER_HAN))
-    odd = hashed.withColumn("seen", F.expr("substring(window, at + 1, 1)")).join(F.broadcast(table), "seen").select(
-        "window", "at", "n", "printed", (F.col("h") - F.col("shift")).alias("h")
+    total = counts.groupBy(F.col("context").substr(3, 1).alias("seen")).agg(F.sum("n").alias("total"))
+    derived = (
+        windows.join(rarer, ["window", "at"]).groupBy("context", "seen", "printed").agg(F.count(F.lit(1)).alias("agree"), F.first("n").alias("n"))
+        .filter(F.col("agree") >= 2).groupBy("seen", "printed").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("contexts"))
+        .join(total, "seen").filter((F.col("contexts") >= 2) & (F.col("n") >= LEAST) & (F.col("n") >= SUPPORT * F.col("total"))).select("seen", "printed")
     )
-    frequent = hashed.select(F.col("window").alias("correct"), "at", F.col("n").alias("m"), "h")
-    same = F.expr("overlay(window placing printed from at + 1)") == F.col("correct")
-    return (
-        odd.join(frequent, ["h", "at"]).filter(same & (F.col("m") >= LEAST) & (F.col("m") >= RATIO * F.col("n")))
-        .groupBy("window", "at").agg(F.max(F.struct("m", "correct"))["correct"].alias("correct"))
+    listed = counts.sparkSession.createDataFrame([(s, t, True) for t, s in HAN_CONFUSIONS], "seen string, printed string, listed boolean")
+    best = (
+        rarer.join(listed.unionByName(derived.withColumn("listed", F.lit(False))), ["seen", "printed"])
+        .groupBy("window", "at").agg(F.max(F.struct("listed", "m", "correct"))["correct"].alias("correct"))
     )
+    return windows.join(best, ["window", "at"]).select("context", "window", "correct")
 
 
 @dataclass
@@ -264,9 +278,10 @@ def clean_scans(df: DataFrame, name: str = "scans") -> Scanned:
     counted = tokens.groupBy("block_id", "unit", "word").agg(F.count(F.lit(1)).alias("n"))
     latin = written(latin_corrections(counted.groupBy("word").agg(F.sum("n").alias("n"))), f"{name}-latin")
     misread_words = counted.select("block_id", "unit", "word").join(latin, "word")
-    windows = han_windows(texts).filter(F.length("window") == 3)
-    han = written(han_corrections(windows), f"{name}-han")
-    misread_han = windows.join(han, ["window", "at"]).select("block_id", "unit", "window", "correct").distinct()
+    contexts = han_contexts(texts)
+    counts = written(contexts.groupBy("context").agg(F.count(F.lit(1)).alias("n")), f"{name}-contexts")
+    han = written(han_corrections(counts, name), f"{name}-han")
+    misread_han = contexts.join(han, "context").select("block_id", "unit", "window", "correct").distinct()
     number = F.col("text").rlike(DIGITS_READ) | F.col("text").rlike(LETTERS_READ)
     noise = lambda d, what: d.select("block_id", F.lit(what).alias("noise"))
     found = (

@@ -91,6 +91,18 @@ def test_scans(spark):
     assert text[13, 0] == "叶片出现病斑，应及时处理受害植株。" and text[14, 0] == "winter plants 10 days"
 
 
+def test_misread_characters_that_are_not_listed(spark):
+    after = ["时，应排水。", "后，要松土。", "会伤根。", "易烂根。"]
+    good = [(i, "f", i, "text", 0, "避免大水漫灌" + after[i % 4], None) for i in range(120)]
+    bad = [(200 + i, "f", i, "text", 0, "避免大水漫罐" + after[i], None) for i in range(3)]
+    natural = [(300 + i, "f", i, "text", 0, ("跳" if i < 60 else "象") + "甲为害叶片，" + after[i % 4], None) for i in range(66)]
+    natural += [(400 + i, "f", i, "text", 0, "水稻象甲在田间" + after[i % 4], None) for i in range(40)]
+    r = scans(spark, good + bad + natural)
+    assert sorted((x["block_id"], x["noise"]) for x in r.found.collect()) == [(200 + i, "misread") for i in range(3)]
+    text = {x["block_id"]: x["text"] for x in r.repaired.collect()}
+    assert [text[200 + i] for i in range(3)] == ["避免大水漫灌" + a for a in after[:3]] and text[365] == natural[65][5]
+
+
 def test_scans_of_an_empty_table(spark):
     r = scans(spark, [])
     assert r.found.count() == 0 and r.repaired.count() == 0
