@@ -3,9 +3,8 @@
 Truncation is looked for in three ways. Distinct answers are range-partitioned and sorted by
 text, and neighbours' common prefixes show which answer is the shortened version of another.
 Spikes in the lengths of unfinished answers show length limits. What is left is judged by how
-texts of this corpus end: counts of the character contexts that precede the end of a sentence,
-fitted on a bounded sample of answers and blended from short to long contexts. Copy, refusal
-and language rules are expressions over the single pair.
+texts of this corpus end: counts of the character contexts that precede the end of a sentence
+in all distinct answers, blended from short to long contexts. Copy, refusal and language rules are expressions over the single pair.
 """
 
 from __future__ import annotations
@@ -19,13 +18,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spindle.session import written
 
-#: Answers on which the model of sentence ends is fitted, the first by a hash of their text.
-FIT_ANSWERS = 6000
-CONTEXTS = (1, 2, 3, 4, 5, 6, 8, 10, 13, 17, 22)
+START, CONTEXTS = 0.05, (1, 2, 3, 4, 5, 6, 8, 10, 13, 17, 22)
 #: Characters by which a clause begins and ends where what stands between varies: Chinese, others.
 FRAME_ZH, FRAME = (4, 2), (10, 4)
 #: An unfinished length that holds so many times the mean of its neighbours is a limit.
 SPIKE, SPIKE_LEAST = 8.0, 20
+#: Bits of the filter by which contexts that no open answer ends with are left out early, as a power of two; characters counted at once.
+FILTER_BITS, AT_ONCE = 24, 200_000
 
 # Labels, placeholders, refusals and function words.
 LABELS = r"(?i)^[\s\"'“‘*#>]*(?:您问的是|您的问题是|参考答案|标准答案|答案|回答|问题|提问|答|问|you asked|your question(?: was| is)?|the question(?: was| is)?|question|answer|response|reply|q|a)\s*[:：]\s*"
@@ -191,38 +190,97 @@ def _frames(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], at[order]
 
 
+def context_counts(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Number, keys, totals and sentence ends of each size of context in turn, then of the frames; texts are squeezed."""
+    codes = _codes("\n".join(texts) + "\n")
+    follows = codes[1:]
+    ends = np.isin(follows, _codes(ENDS))
+    blank = np.isin(np.append(follows[1:], 10), [32, 10])
+    ends |= (follows == ord(".")) & blank
+    usable = (follows != 10) & ~np.isin(codes[:-1], [10])  # an unfinished end says nothing
+
+    def counted(keys: np.ndarray, use: np.ndarray, final: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        known, inverse = np.unique(keys[use], return_inverse=True)
+        return known, np.bincount(inverse, minlength=len(known)), np.bincount(inverse, weights=final[use], minlength=len(known))
+
+    for i, size in enumerate(CONTEXTS):
+        yield i, *counted(_context_keys(codes[:-1], size), usable[size - 1 :], ends[size - 1 :])
+    keys, places = _frames(codes[:-1])
+    yield len(CONTEXTS), *counted(keys, usable[places], ends[places])
+
+
+def context_keys(text: str) -> list[int | None]:
+    """The key of each size of context at the end of a squeezed text, then that of its frame; None where there is none."""
+    whole = _codes(text)
+    codes = whole[-CONTEXTS[-1] :]
+    out = [int(_context_keys(codes[-size:], size)[0].view(np.int64)) if size <= len(codes) else None for size in CONTEXTS]
+    keys, places = _frames(whole)
+    return [*out, int(keys[-1].view(np.int64)) if len(places) and places[-1] == len(whole) - 1 else None]
+
+
+def finalities(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """text, finality of each distinct text of asked: what SentenceEnds gives, counted over all distinct texts of texts.
+
+    Only contexts that an asked text ends with are counted. A filter of fixed size, sent to all tasks,
+    leaves out most of the others before the shuffle; what it lets through wrongly falls out of the join.
+    """
+
+    @F.pandas_udf("array<bigint>")
+    def ends_of(column: pd.Series) -> pd.Series:
+        return squeezed(column).map(lambda t: context_keys(t.rstrip()))
+
+    ends = written(asked.filter(F.col("text").isNotNull()).select("text").distinct().withColumn("keys", ends_of("text")), "ends")
+    wanted = ends.select("text", F.posexplode("keys").alias("kind", "key")).filter(F.col("key").isNotNull())
+    words = (
+        wanted.select(F.expr(f"shiftright(key & {(1 << FILTER_BITS) - 1}L, 5) at"), F.expr("shiftleft(1L, cast(key & 31 as int)) bit"))
+        .groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    )
+    bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    bits[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            column = squeezed(frame["text"])
+            part = (column.str.len().cumsum() // AT_ONCE).to_numpy()
+            for _, some in column.groupby(part):
+                for kind, keys, total, final in context_counts(some.tolist()):
+                    at = keys & np.uint64((1 << FILTER_BITS) - 1)
+                    hit = (shared.value[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+                    yield pd.DataFrame({"kind": np.full(hit.sum(), kind, np.int32), "key": keys[hit].view(np.int64), "total": total[hit].astype(np.int64), "final": final[hit].astype(np.int64)})
+
+    counts = texts.filter(F.col("text").isNotNull()).select("text").distinct().mapInPandas(run, "kind int, key bigint, total bigint, final bigint")
+    counts = counts.groupBy("kind", "key").agg(F.sum("total").alias("total"), F.sum("final").alias("final"))
+    found = wanted.join(counts, ["kind", "key"]).groupBy("text").agg(F.array_sort(F.collect_list(F.struct("kind", "total", "final"))).alias("seen"))
+
+    # from short to long for as long as each is known, then the frame
+    frame, sizes = len(CONTEXTS), F.array(*map(F.lit, CONTEXTS))
+    blend = lambda x, p: (x["final"] + p * 1.5) / (x["total"] + 1.5)
+    known = lambda a, x: (x["kind"] == a["next"]) & (x["kind"] < frame) & ((x["total"] >= 2) | (F.get(sizes, x["kind"]) <= 4))
+    step = lambda a, x: (
+        F.when(known(a, x), F.struct(blend(x, a["p"]).alias("p"), (a["next"] + 1).alias("next")))
+        .when((x["kind"] == frame) & (x["total"] >= 3), F.struct(blend(x, a["p"]).alias("p"), a["next"].alias("next"))).otherwise(a)
+    )
+    start = F.struct(F.lit(START).alias("p"), F.lit(0).alias("next"))
+    p = F.when(F.col("seen").isNull(), F.lit(START)).otherwise(F.aggregate("seen", start, step)["p"])
+    return ends.select("text").join(found, "text", "left").select("text", p.alias("finality"))
+
+
 class SentenceEnds:
-    """How often the end of a sentence follows each context. Its size is bound by that of the sample."""
+    """How often the end of a sentence follows each context of the given texts: finalities in memory, for few texts."""
 
     def __init__(self, texts: list[str]):
-        joined = "\n".join(squeezed(pd.Series(texts, dtype="object"))) + "\n"
-        codes = _codes(joined)
-        follows = codes[1:]
-        ends = np.isin(follows, _codes(ENDS))
-        stop = follows == ord(".")
-        blank = np.isin(np.append(follows[1:], 10), [32, 10])
-        ends |= stop & blank
-        usable = (follows != 10) & ~np.isin(codes[:-1], [10])  # an unfinished end says nothing
+        *tables, self.frames = [x[1:] for x in context_counts(squeezed(pd.Series(texts, dtype="object")).tolist())]
         self.tables = []
-        for size in CONTEXTS:
-            keys = _context_keys(codes[:-1], size)
-            use = usable[size - 1 :]
-            known, inverse = np.unique(keys[use], return_inverse=True)
-            total = np.bincount(inverse, minlength=len(known)).astype(np.float32)
-            final = np.bincount(inverse, weights=ends[size - 1 :][use], minlength=len(known)).astype(np.float32)
+        for size, (known, total, final) in zip(CONTEXTS, tables):
             seen = total >= (2 if size > 4 else 1)
             self.tables.append((known[seen], total[seen], final[seen]))
 
-        keys, places = _frames(codes[:-1])
-        use = usable[places]
-        known, inverse = np.unique(keys[use], return_inverse=True)
-        self.frames = (known, np.bincount(inverse, minlength=len(known)), np.bincount(inverse, weights=ends[places][use], minlength=len(known)))
-
     def finality(self, text: str) -> float:
         """The chance that a sentence ends where the text does, blended from short to long contexts and to the frame of the clause."""
         whole = _codes(text)
         codes = whole[-CONTEXTS[-1] :]
-        p = 0.05
+        p = START
         for size, (known, total, final) in zip(CONTEXTS, self.tables):
             if size > len(codes) or not len(known):
                 break
@@ -319,14 +377,9 @@ def broken_pairs(df: DataFrame, key: str, question: str, answer: str, task: str,
         f"{name}-judged",
     )
     open_answers = judged.filter(F.col("open").isNotNull()).select("key", "open.*", F.length("open.text").alias("length"))
-    ends = _fit(records)
-    shared = df.sparkSession.sparkContext.broadcast(ends)
-
-    @F.pandas_udf("double")
-    def finality(texts: pd.Series) -> pd.Series:
-        return squeezed(texts.fillna("")).map(lambda t: shared.value.finality(t.rstrip())).astype("float64")
-
-    prefixes = joined_edges(shortened_versions(records.filter(a.isNotNull()).select(a.alias("text"))))
+    answers = records.filter(a.isNotNull()).select(a.alias("text"))
+    final = finalities(answers, open_answers.select(F.col("kept").alias("text"))).withColumnRenamed("text", "kept")
+    prefixes = joined_edges(shortened_versions(answers))
     prefixes = prefixes.groupBy("text").agg(F.first("goes_on").alias("goes_on"))
     limits = length_limits(open_answers.filter(F.length("kept") > 40))
     words = count_of(F.col("kept"), r"[\p{L}\p{N}][\p{L}\p{N}'’-]*")
@@ -337,7 +390,7 @@ def broken_pairs(df: DataFrame, key: str, question: str, answer: str, task: str,
     longer = F.col("goes_on").isNotNull() & ~F.col("goes_on").rlike(rf"[{ENDS}.\s]")
     cut = (
         open_answers.join(prefixes, "text", "left").join(F.broadcast(limits), "length", "left")
-        .withColumn("finality", finality("kept"))
+        .join(final, "kept")
         .filter(
             promise | F.col("marked") | (~brief & (balance | (F.col("finality") < 0.5) | (longer & (F.col("finality") < 0.8)) | (F.col("limit").isNotNull() & (F.col("finality") < 0.7))))
         )
@@ -360,13 +413,5 @@ def length_limits(open_answers: DataFrame) -> DataFrame:
     return spikes.orderBy(F.desc("n"), "length").limit(1000).select("length", F.lit(True).alias("limit"))
 
 
-def _fit(records: DataFrame) -> SentenceEnds:
-    """The model of sentence ends, from FIT_ANSWERS answers in the order of a hash."""
-    sample = (
-        records.filter(F.length("answer").between(20, 20_000)).select("answer").orderBy(F.xxhash64("answer"), "answer").limit(FIT_ANSWERS).toPandas()
-    )
-    return SentenceEnds(sample["answer"].tolist())
-
-
 def defect_report(found: DataFrame) -> DataFrame:
     return found.groupBy("defect").agg(F.count(F.lit(1)).alias("n_pairs"))

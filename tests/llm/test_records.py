@@ -1,8 +1,9 @@
 import datetime as dt
+import re
 
 import numpy as np
 from spindle.llm.canonical import map_to_canonical, repaired, swap_distance
-from spindle.llm.pairs import SentenceEnds, broken_pairs, joined_edges, shortened_versions
+from spindle.llm.pairs import SentenceEnds, broken_pairs, finalities, joined_edges, shortened_versions
 from spindle.llm.sampling import Source, deficits, sample_by_targets
 
 T0 = dt.datetime(2024, 1, 1)
@@ -56,6 +57,23 @@ def test_sentence_ends():
     assert 0 <= SentenceEnds([]).finality("x") <= 1
 
 
+def test_sentence_ends_are_counted_over_all_answers(spark):
+    rng = np.random.default_rng(8)
+    texts = sorted({"".join(rng.choice(list("甲乙丙，。. a"), rng.integers(1, 60))) for _ in range(300)} | set(SENTENCES))
+    asked = sorted({t[:i] for t in texts[::5] for i in (1, len(t) // 2, len(t)) if t[:i]} | {"", "丁", SENTENCES[1][:-1]})
+    df = lambda ts: spark.createDataFrame([(t,) for t in ts], "text string").repartition(5)
+    m, got = SentenceEnds(texts), {r["text"]: r["finality"] for r in finalities(df(texts * 2), df(asked)).collect()}
+    assert set(got) == set(asked) and all(abs(got[t] - m.finality(re.sub(" +", " ", t).rstrip())) < 1e-9 for t in asked)
+
+
+def test_verdicts_stay_in_a_larger_table(spark):
+    q, other = "怎样区分甲虫和乙虫？", "乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥"
+    clauses = ["田边杂草上聚集", "沟渠两侧多积水", "砧木伤口处愈合", "棚膜内壁挂露珠", "土块下面越寒冬", "蜜腺周围有蚂蚁", "幼果脐部先变黑", "叶背绒毛渐脱落"]
+    rare = [(f"{x}{i}", q, f"{'春秋'[i]}季在当地的田里观察到{c}" + "。" * i, "") for x, c in enumerate(clauses) for i in (0, 1)]
+    more = [(f"m{i}", q, "".join(other[(i // 21**k) % 21] for k in range(4)) * 5 + "。", "") for i in range(20_000)]
+    assert pairs(spark, rare) == pairs(spark, rare + more) == {}
+
+
 def sampled(spark, a, targets):
     src = spark.createDataFrame(a, "id string, kind string, ingested_at timestamp_ntz, category string")
     t = spark.createDataFrame(targets, "target_id int, source_table string, kind string, target_permille int, min_rows int, sample_permille int")
