@@ -37,7 +37,7 @@ class Source:
 
 @dataclass
 class TargetSample:
-    """sample: source_table, target_id, record_key. report: one row per target."""
+    """sample: source_table, target_id, record_key. report: one row per target, with what the sample holds of it."""
 
     sample: DataFrame
     report: DataFrame
@@ -111,10 +111,11 @@ def sample_by_targets(sources: list[Source], targets: DataFrame, seed: int = 17,
     rank = F.row_number().over(Window.partitionBy("target_id").orderBy("u", "record_key"))
     last = kept.filter(F.col("part").isNotNull()).withColumn("rank", rank).filter(F.col("rank") <= F.col("part"))
     cols = ["source_table", "target_id", "record_key"]
-    sample = kept.filter(F.col("part").isNull()).select(cols).unionByName(last.select(cols))
-    taken = F.least("observed", "quota")
-    report = quotas.select(
-        "source_table", "target_id", "n_records", "observed", "quota", taken.alias("sampled"), (F.col("quota") - taken).alias("deficit")
+    sample = written(kept.filter(F.col("part").isNull()).select(cols).unionByName(last.select(cols)), f"{name}-sample")
+    taken = sample.groupBy("target_id").agg(F.count(F.lit(1)).alias("sampled"))
+    sampled = F.coalesce("sampled", F.lit(0))
+    report = quotas.join(taken, "target_id", "left").select(
+        "source_table", "target_id", "n_records", "observed", "quota", sampled.alias("sampled"), (F.col("quota") - sampled).alias("deficit")
     )
     return TargetSample(sample, report)
 

@@ -4,7 +4,9 @@ import re
 import numpy as np
 from spindle.llm.canonical import map_to_canonical, repaired, swap_distance
 from spindle.llm.pairs import SentenceEnds, broken_pairs, finalities, joined_edges, shortened_versions
+from spindle.llm import sampling
 from spindle.llm.sampling import Source, deficits, sample_by_targets
+from spindle.session import written
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -93,6 +95,17 @@ def test_sampling(spark):
     assert sorted(got) == sorted((x["target_id"], x["record_key"]) for x in sampled(spark, rows, targets).sample.collect())
 
 
+def test_the_report_counts_the_sample(spark, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(sampling, "written", lambda df, label: drawn.append((label, written(df, label))) or drawn[-1][1])
+    r = sampled(spark, [(f"r{i}", "a", T0, "x") for i in range(50)], [(1, "s", "a", 500, 3, 400), (2, "s", "b", 500, 3, 400)])
+    samples = [d for label, d in drawn if label.endswith("-sample")]
+    assert len(samples) == 1 and samples[0].count() == r.sample.count() == 10
+    path = samples[0].inputFiles()[0].rpartition("/")[0]
+    assert any(f.startswith(path) for f in r.report.inputFiles())
+    assert sorted((x["target_id"], x["sampled"], x["deficit"]) for x in r.report.collect()) == [(1, 10, 0), (2, 0, 10)]
+
+
 def test_sampling_of_an_empty_table(spark):
     r = sampled(spark, [], [(1, "s", "a", 500, 3, 400)])
     assert r.sample.count() == 0 and r.report.first()["deficit"] == 3
