@@ -389,7 +389,7 @@ def broken_pairs(df: DataFrame, key: str, question: str, answer: str, task: str,
     # a continuation counts where it is more than the final stop
     longer = F.col("goes_on").isNotNull() & ~F.col("goes_on").rlike(rf"[{ENDS}.\s]")
     cut = (
-        open_answers.join(prefixes, "text", "left").join(F.broadcast(limits), "length", "left")
+        open_answers.join(prefixes, "text", "left").join(limits, "length", "left")
         .join(final, "kept")
         .filter(
             promise | F.col("marked") | (~brief & (balance | (F.col("finality") < 0.5) | (longer & (F.col("finality") < 0.8)) | (F.col("limit").isNotNull() & (F.col("finality") < 0.7))))
@@ -401,16 +401,12 @@ def broken_pairs(df: DataFrame, key: str, question: str, answer: str, task: str,
 
 
 def length_limits(open_answers: DataFrame) -> DataFrame:
-    """length, limit: lengths at which far more answers stay unfinished than at the eight next to it.
-
-    There are no more of them than lengths with SPIKE_LEAST unfinished answers; the heaviest thousand are kept,
-    which is what makes the table small enough to broadcast. The rest still has the other evidence.
-    """
+    """length, limit: lengths at which far more answers stay unfinished than at the eight next to it."""
     counts = open_answers.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
     near = Window.partitionBy(F.floor(F.col("length") / 10_000)).orderBy("length").rangeBetween(-4, 4)
     mean = (F.sum("n").over(near) - F.col("n")) / 8
     spikes = counts.withColumn("mean", mean).filter((F.col("n") >= SPIKE_LEAST) & (F.col("n") > SPIKE * F.col("mean")))
-    return spikes.orderBy(F.desc("n"), "length").limit(1000).select("length", F.lit(True).alias("limit"))
+    return spikes.select("length", F.lit(True).alias("limit"))
 
 
 def defect_report(found: DataFrame) -> DataFrame:

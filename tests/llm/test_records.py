@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 from spindle.llm.canonical import map_to_canonical, repaired, swap_distance
-from spindle.llm.pairs import SentenceEnds, broken_pairs, finalities, joined_edges, shortened_versions
+from spindle.llm.pairs import SentenceEnds, broken_pairs, finalities, joined_edges, length_limits, shortened_versions
 from spindle.llm import sampling
 from spindle.llm.sampling import Source, deficits, sample_by_targets
 from spindle.session import written
@@ -76,6 +76,11 @@ def test_verdicts_stay_in_a_larger_table(spark):
     assert pairs(spark, rare) == pairs(spark, rare + more) == {}
 
 
+def test_every_length_limit_counts(spark):
+    spikes = spark.range(1100).selectExpr("cast(50 + id * 10 as int) length").crossJoin(spark.range(20)).select("length")
+    assert sorted(r["length"] for r in length_limits(spikes).collect()) == [50 + i * 10 for i in range(1100)]
+
+
 def sampled(spark, a, targets):
     src = spark.createDataFrame(a, "id string, kind string, ingested_at timestamp_ntz, category string")
     t = spark.createDataFrame(targets, "target_id int, source_table string, kind string, target_permille int, min_rows int, sample_permille int")
