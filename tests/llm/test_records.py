@@ -148,3 +148,11 @@ def test_repair_against_all_pairs(spark):
     k = {w: min(n - 1, 1 if n <= 5 else 2 if n <= 7 else int(n * 0.34)) for w in words for n in [len(w.lstrip("="))]}
     alike = lambda t, w: t.startswith("=") == w.startswith("=") and t.lstrip("=") and swap_distance(t.lstrip("="), w.lstrip("=")) <= k[w]
     assert got == {(t, w) for t in toks for w in words if alike(t, w)}
+
+
+def test_repair_of_many_swaps(spark):
+    want = {("omrhpoolgcial", "morphological"), ("omrhpoolgica", "morphological"), ("ba", "ab")}
+    f = spark.createDataFrame([(t,) for t, _ in want], "token string")
+    v = spark.createDataFrame([("morphological",), ("ab",)], "word string")
+    assert all(swap_distance(t, w) <= 4 for t, w in want)
+    assert {(r["token"], r["word"]) for r in repaired(f, v).collect()} == want
