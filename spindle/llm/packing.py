@@ -20,8 +20,6 @@ from spindle.llm.bpe import ByteBPE
 from spindle.session import written
 
 K1, B = 1.2, 0.75
-#: Terms of a seed asked of the index: its most telling ones. Items they don't reach are found by length.
-QUERY_TERMS = 12
 #: Tokens of a shard, in the mean.
 SHARD_TOKENS = 2_000_000
 
@@ -61,18 +59,16 @@ class Index:
         weight = idf[which] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[docs] / max(1.0, lengths.mean() if n else 1.0)))
         self.docs, self.weight = docs[order], weight[order]
         self.start, self.end = start, start + df
-        self.offsets, self.which, self.own, self.df = offsets, which, weight, df
+        self.offsets, self.which, self.df = offsets, which, df
         self.score = np.zeros(n)
 
     def query_terms(self, item: int) -> np.ndarray:
-        a, b = self.offsets[item], self.offsets[item + 1]
-        terms, own = self.which[a:b], self.own[a:b]
-        shared = self.df[terms] > 1
-        terms, own = terms[shared], own[shared]
-        return terms[np.argpartition(-own, QUERY_TERMS)[:QUERY_TERMS]] if len(terms) > QUERY_TERMS else terms
+        """The terms of an item that others have too."""
+        terms = self.which[self.offsets[item] : self.offsets[item + 1]]
+        return terms[self.df[terms] > 1]
 
     def neighbours(self, item: int, open_: np.ndarray, most: int, sizes: np.ndarray) -> np.ndarray:
-        """Open items of at most that size which share a telling term with item, best first."""
+        """Open items of at most that size which share a term with item, best first."""
         score, touched = self.score, []
         for t in self.query_terms(item).tolist():
             d = self.docs[self.start[t] : self.end[t]]

@@ -80,3 +80,13 @@ def test_neighbours_share_terms():
     assert index.neighbours(0, np.array([False, True, True, True]), 10, lengths).tolist() == [1, 3]
     item, *_, box = pack(lengths, index, 20)
     assert sorted(item) == [0, 1, 2, 3] and max(box) == 1
+
+
+def test_neighbours_share_any_term():
+    # item 0 shares terms 0 to 19 with item 1, and each of the terms 20 to 31, which are rarer for it, with none but item 2
+    terms = [list(range(32)), list(range(20)), list(range(20, 32)), list(range(20)), [99]]
+    flat = np.concatenate(terms)
+    lengths = np.array([len(t) for t in terms])
+    index = Index(lengths, np.concatenate([[0], np.cumsum(lengths)]), flat, np.ones(len(flat), np.int64))
+    got = index.neighbours(0, np.array([False, True, True, True, True]), 100, lengths)
+    assert sorted(got.tolist()) == [1, 2, 3]
