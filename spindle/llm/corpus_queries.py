@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spindle.llm.bpe import TOKENIZERS_DIR, ByteBPE, encode
-from spindle.llm.packing import fill_report, pack_documents
+from spindle.llm.packing import fill_report, pack_documents, recall
 from spindle.session import table
 
 #: Specs are read by the driver; more than this is an error.
@@ -47,5 +47,10 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(p7_assignments(spark, sf_dir), _specs(spark, sf_dir))
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_lengths": p6_lengths, "p7_assignments": p7_assignments, "p7_report": p7_report}
+def p7_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the nearest items of a text lie in its own shard of the index."""
+    return recall(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer(), name="p7")
+
+
+QUERIES = {"p6_ids": p6_ids, "p6_lengths": p6_lengths, "p7_assignments": p7_assignments, "p7_report": p7_report, "p7_recall": p7_recall}
 ORACLE_SQL: dict[str, str] = {}

@@ -3,7 +3,8 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from spindle.llm.bpe import ByteBPE, PerfectHash, encode
-from spindle.llm.packing import Index, fill_report, pack, pack_documents
+from spindle.llm import packing
+from spindle.llm.packing import Index, fill_report, pack, pack_documents, recall, shard_plan
 
 
 @pytest.fixture(scope="module")
@@ -77,7 +78,7 @@ def test_neighbours_share_terms():
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in terms])])
     lengths = np.array([10, 10, 10, 10])
     index = Index(lengths, offsets, np.concatenate(terms), np.ones(offsets[-1], np.int64))
-    assert index.neighbours(0, np.array([False, True, True, True]), 10, lengths).tolist() == [1, 3]
+    assert list(index.neighbours(0, np.array([False, True, True, True]), 10, lengths)) == [1, 3]
     item, *_, box = pack(lengths, index, 20)
     assert sorted(item) == [0, 1, 2, 3] and max(box) == 1
 
@@ -88,5 +89,58 @@ def test_neighbours_share_any_term():
     flat = np.concatenate(terms)
     lengths = np.array([len(t) for t in terms])
     index = Index(lengths, np.concatenate([[0], np.cumsum(lengths)]), flat, np.ones(len(flat), np.int64))
-    got = index.neighbours(0, np.array([False, True, True, True, True]), 100, lengths)
-    assert sorted(got.tolist()) == [1, 2, 3]
+    got = list(index.neighbours(0, np.array([False, True, True, True, True]), 100, lengths))
+    assert sorted(got) == [1, 2, 3]
+
+
+def brute_scores(item, lengths, offsets, terms, counts):
+    """BM25 of every item for the terms of one, term by term."""
+    n, own = len(lengths), set(terms[offsets[item] : offsets[item + 1]].tolist())
+    df = {t: int((terms == t).sum()) for t in own}
+    out = np.zeros(n)
+    for d in range(n):
+        for t, tf in zip(terms[offsets[d] : offsets[d + 1]].tolist(), counts[offsets[d] : offsets[d + 1]].tolist()):
+            if t in own:
+                norm = packing.K1 * (1 - packing.B + packing.B * lengths[d] / lengths.mean())
+                out[d] += np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (packing.K1 + 1) / (tf + norm)
+    return out
+
+
+def test_scores_equal_brute_force():
+    r = np.random.default_rng(3)
+    docs = [np.unique(np.minimum(r.zipf(1.3, 30), 400)) for _ in range(120)]
+    offsets, terms = np.concatenate([[0], np.cumsum([len(d) for d in docs])]), np.concatenate(docs)
+    counts = r.integers(1, 6, len(terms))
+    lengths = np.array([int(counts[offsets[i] : offsets[i + 1]].sum()) for i in range(120)])
+    index = Index(lengths, offsets, terms, counts)
+    assert len(index.matrix) and len(index.docs)
+    for item in (0, 7, 119):
+        want = brute_scores(item, lengths, offsets, terms, counts)
+        others = np.arange(120) != item  # an item's own score is never looked at
+        assert np.allclose(index.scores(item)[others], want[others], rtol=1e-4, atol=1e-3)
+        got = list(index.neighbours(item, np.arange(120) != item, 10_000, lengths))
+        assert sorted(got) == [i for i in range(120) if i != item and want[i] > 0]
+        assert all(want[a] >= want[b] - 1e-3 for a, b in zip(got, got[1:]))
+
+
+def test_shard_plan():
+    tokens, items = packing.SHARD_TOKENS, packing.SHARD_ITEMS
+    m = packing.MOST_CENTROIDS
+    plan = dict((c, (s, p)) for c, s, p in shard_plan([(1, 3 * tokens, 5), (2, tokens // 10, 1), (3, tokens // 10, 1), (m, tokens // 10, 4 * items), (2 * m, 1, 1)]))
+    assert plan[1] == (0, 3) and plan[2] == plan[3] == (3, 1) and plan[m][1] == 4
+    assert shard_plan([]) == []
+
+
+def test_shards_by_content(spark, bpe, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 400)
+    topics = ["red apple tree fruit", "steel engine wheel motor", "river lake water fish"]
+    rows = [(i, " ".join([topics[i % 3]] * (3 + i % 5))) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = packing.sized(df, "doc_id", "text", bpe)
+    shards = {}
+    for r in packing.in_shards(items, "test")[0].collect():
+        shards.setdefault(r["shard"], set()).add(r["key"] % 3)
+    assert len(shards) > 3 and sum(len(v) == 1 for v in shards.values()) >= len(shards) - 2
+    out = pack_documents(df, "doc_id", "text", {1: 64}, bpe).collect()
+    assert {r["doc_id"] for r in out} == set(range(90))
+    assert recall(df, "doc_id", "text", bpe, k=5, seeds=20).first()["recall"] > 0.2
