@@ -51,6 +51,48 @@ def test_clean_stays(model, text):
     assert model.repair(text) == (text, [], True)
 
 
+@pytest.mark.parametrize("apart", [5, 10, 30, 60, 200])
+def test_letters_far_apart(model, apart):
+    # accents of one sentence, each read as two characters, with plain letters between
+    plain = ("maladie foliaire sur la parcelle " * 8)[:apart]
+    text = plain.join(["é", "à", "è", "é", "à"])
+    bad = garbled(text, ("utf-8", "latin-1"))
+    new, found, whole = model.repair(bad)
+    assert found and (new == text) == whole and not any("\u0400" <= c < "\u0500" for c in new)
+
+
+@pytest.mark.parametrize("wrote", ["iso2022_jp", "hz", "utf-7"])
+def test_readings_of_seven_bits(wrote):
+    ja = "病害が発生した場合は、直ちに取り除く必要があります。"
+    zh = CLEAN["zh"][0]
+    text = ja if wrote == "iso2022_jp" else zh
+    m = EncodingModel(corpus() + [ja] * 20)
+    bad = garbled(text, (wrote, "ascii"))
+    assert bad.isascii() and m.repair(bad)[0] == text and not m.repair(CLEAN["en"][0] + " {a + b} ~ $B x")[1]
+
+
+def test_recovered_means_verified(model):
+    texts = [t for _, t in TEXTS]
+    for pair in PAIRS:
+        if "cp932" in pair[1::2]:
+            continue  # it has two codes for some characters, so that two originals may look alike
+        for t in texts:
+            new, found, whole = model.repair(garbled(t, pair))
+            if found and whole and garbled(t, (pair[0], pair[0])) == t:
+                assert new == t, (pair, new)
+
+
+def test_many_at_once(model, monkeypatch):
+    texts = [garbled(t, p) for _, t in TEXTS for p in PAIRS[::7]] + ["", "a\nb", *corpus()[:20]]
+    one = [model.repair(t) for t in texts]
+    from spindle.llm import encodings
+
+    monkeypatch.setattr(encodings, "AT_ONCE", 150)
+    assert model.repair_many(texts) == one
+    monkeypatch.setattr(encodings, "PLACES", 1)
+    assert model.repair_many(texts) == one
+
+
 def test_round_trips():
     for pair in PAIRS:
         text = "abc é ü" if pair[0] in ("cp1252", "mac-roman", "cp437", "cp850") else "абв где" if pair[0] in ("cp1251", "koi8-r", "cp866", "iso8859-5") else "中文"
