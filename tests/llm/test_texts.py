@@ -148,3 +148,49 @@ def test_misread_characters_that_are_not_listed(spark):
 def test_scans_of_an_empty_table(spark):
     r = scans(spark, [])
     assert r.found.count() == 0 and r.repaired.count() == 0
+
+
+def test_paragraphs_and_numbers(spark):
+    usual = [(100 + i, "f", i, "text", 0, f"间隔{10 + i}天喷一次，用量{i}.{i % 7}克。", None) for i in range(12)]
+    rows = [
+        (1, "f", 0, "text", 0, "每隔lO天喷一次，用量1O克，H2O不变。", None), (2, "f", 1, "text", 0, "One line\ngoes on.\n\n \nAnother para-\ngraph.\n", None),
+        (3, "f", 2, "text", 0, "灌水1OO次，共l.5次；根部罐水。", None), (4, "f", 3, "text", 0, "\n\n第一段。\n\n第二段，\n继续。", None), (5, "f", 4, "text", 0, "A para-\n\ngraph.", None),
+    ]
+    rows += [(300 + i, "f", i, "text", 0, "The paragraph is whole.", None) for i in range(5)]
+    r = scans(spark, usual + rows)
+    found = {(x["block_id"], x["noise"]) for x in r.found.collect()}
+    assert found == {(1, "misread"), (2, "hyphen_break"), (3, "misread")}
+    text = {x["block_id"]: x["text"] for x in r.repaired.collect()}
+    assert text[1] == "每隔10天喷一次，用量10克，H2O不变。" and text[2] == "One line goes on.\n\nAnother paragraph." and text[3] == "灌水100次，共1.5次；根部罐水。"
+    assert text[4] == "第一段。\n\n第二段，继续。" and text[5] == "A para-\n\ngraph."
+
+
+def test_titles_of_any_length(spark):
+    long = "The " + "Very " * 60 + "Long Title"
+    rows = [(1, "f", 0, "header", 0, long, None), (2, "f", 1, "header", 0, "目录", None), (3, "f", 2, "header", 0, None, None), (4, "f", 3, "header", 0, "12", None)]
+    rows += [(10, "f", 4, "text", 1, long.replace("Long", "Lon") + "\nsaid here.", None), (11, "f", 5, "text", 1, "目录\n正文。", None), (12, "f", 6, "text", 1, "目\n正文。", None), (13, "f", 7, "text", 1, long.replace("Long Title", "Lo Title") + "\nx y.", None)]
+    r = scans(spark, rows)
+    assert {(x["block_id"], x["noise"]) for x in r.found.collect()} == {(10, "running_header"), (11, "running_header")}
+
+
+def test_halves_find_every_string_within_one_edit(spark):
+    from pyspark.sql import functions as F
+
+    from spindle.llm.scanned import halves, near_halves
+
+    words = ["abcd", "abce", "abc", "abcde", "xabcd", "acd", "dcba", "ab", "ac", "甲乙丙丁戊", "甲乙丁戊", "甲丙乙丁戊", "abcdabcd", "abcabcd", "a", ""]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    left = df.filter("w <> ''").select("w", F.explode(near_halves(F.col("w"))).alias("h"))
+    right = df.filter("w <> ''").select(F.col("w").alias("t"), F.explode(halves(F.col("w"), F.length("w"))).alias("h"))
+    got = {(r["w"], r["t"]) for r in left.join(right, "h").collect()}
+    edit = {(r["a"], r["b"]): r["d"] for r in df.select(F.col("w").alias("a")).crossJoin(df.select(F.col("w").alias("b"))).withColumn("d", F.levenshtein("a", "b")).collect()}
+    assert all((a, b) in got for (a, b), d in edit.items() if a and b and d <= (1 if len(b) >= 4 else 0))
+
+
+def test_words_with_many_errors(spark):
+    from spindle.llm.scanned import latin_corrections
+
+    long = "incomprehensibilities"
+    bad = long.replace("i", "1").replace("o", "0").replace("e", "c")
+    df = spark.createDataFrame([(long, 40), (bad, 1), ("x" * 60 + "long", 30), ("x" * 60 + "1ong", 1)], "word string, n long")
+    assert {tuple(r) for r in latin_corrections(df).collect()} == {(bad, long), ("x" * 60 + "1ong", "x" * 60 + "long")}
