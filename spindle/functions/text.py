@@ -6,9 +6,22 @@ from pyspark.sql import Column, functions as F
 
 from spindle.functions.ontology import DEFAULT, Ontology
 
+# Forms of suffixes, keys, paths and ends of sentences.
 SUFFIX = r"(?i)\s*\((image|table|equation|header|page_number|other)\)\s*$"
 CHUNK_ID = r"(?i)\bchunk-[0-9a-f]{32}\b"
-IMAGE_PATH = r"(?:图片路径|Image Path)\s*[:：]\s*(\S+?\.(?:jpg|jpeg|png|gif|bmp|webp|tiff?))"
+IMAGE_PATH = r"(?:Image\s*Path|图片路径)\s*[:：]\s*([^\n\r]*?\.(?:jpg|jpeg|png|gif|bmp|webp|tiff|tif))"
+SENTENCE_END = r"(?<=[。！？；;])\s*|\n+"
+QUOTE_NOISE = (
+    r"(?i)(?:图片路径|Image Path)\s*[:：]\s*\S+\s*",
+    r"图片内容分析\s*[:：]\s*",
+    r"标注\s*[:：]\s*None\s*",
+    r"脚注\s*[:：]\s*None\s*",
+)
+
+
+def any_of(chars: str) -> str:
+    """A class of a regular expression that holds these characters."""
+    return "[" + "".join("\\" + c if c in "\\[]^-&" else c for c in chars) + "]"
 
 
 def squeeze(c: Column) -> Column:
@@ -64,19 +77,24 @@ def entity_type(c: Column, o: Ontology = DEFAULT) -> Column:
     return F.when(F.lower(t).isin(*o.modalities), o.multimodal_type).when(t.isin(*o.entity_types), t).otherwise(o.other_type)
 
 
-def entity_name(c: Column) -> Column:
-    n = F.trim(without_suffix(c))
-    stripped = F.regexp_replace(n, r"^[ \t\r\n,，。;；:：]+|[ \t\r\n,，。;；:：]+$", "")
-    return F.when(stripped == "", "未命名实体").otherwise(stripped)
+def bare(c: Column, o: Ontology = DEFAULT) -> Column:
+    """Without marks at the ends."""
+    marks = any_of(o.name_marks)
+    return F.regexp_replace(c, f"^{marks}+|{marks}+$", "")
+
+
+def entity_name(c: Column, o: Ontology = DEFAULT) -> Column:
+    """A name without suffix of a modality and without marks at its ends; nameless where nothing is left."""
+    stripped = bare(squeeze(without_suffix(c)), o)
+    return F.when(stripped == "", o.nameless).otherwise(stripped)
 
 
 def stage_parts(c: Column, o: Ontology = DEFAULT) -> Column:
     """base and stage of a name that ends in a stage of life, bracketed or not; else the name and an empty stage."""
     n = squeeze(c)
     alternatives = "|".join(sorted(o.stages, key=len, reverse=True))
-    pattern = rf"^(.+?)[\s\-_/]*[（(【\[]?({alternatives}|[一二三四五六七八九十0-9]+龄幼虫)[）)】\]]?$"
-    marks = r"[ \t\r\n,，。;；:：()（）\[\]【】<>《》\-_/|]+"
-    base = F.regexp_replace(F.regexp_extract(n, pattern, 1), rf"^{marks}|{marks}$", "")
+    pattern = rf"^(.+?)[\s\-_/]*[（(【\[]?({alternatives}|{o.stage_pattern})[）)】\]]?$"
+    base = bare(F.regexp_extract(n, pattern, 1), o)
     stage = F.regexp_extract(n, pattern, 2)
     hit = (stage != "") & (base != "")
     return F.struct(F.when(hit, base).otherwise(n).alias("base"), F.when(hit, stage).otherwise("").alias("stage"))
@@ -84,12 +102,13 @@ def stage_parts(c: Column, o: Ontology = DEFAULT) -> Column:
 
 def is_plant_part(c: Column, o: Ontology = DEFAULT) -> Column:
     n = squeeze(c)
-    return n.isin(*o.plant_parts) | n.endswith("部位") | ((F.length(n) <= 4) & n.rlike("[叶根茎花芽]$"))
+    return n.isin(*o.plant_parts) | n.endswith(o.part_ending) | ((F.length(n) <= 4) & n.rlike(o.part_letters))
 
 
 def is_group_name(c: Column, o: Ontology = DEFAULT) -> Column:
     n = squeeze(c)
-    return n.isin(*o.crop_groups) | n.rlike(r"(界|门|纲|目|科|属|种|亚种|变种|族)$|(科|属|目|纲|门)(植物|蔬菜)$|十字花科|旋花科") | ((F.length(n) >= 3) & n.rlike("(蔬菜|植物|作物)$"))
+    listed = n.isin(*o.crop_groups) | _any_word(n, o.group_words)
+    return listed | n.rlike(o.taxonomy_pattern) | n.rlike(o.composite_pattern) | ((F.length(n) >= 3) & n.rlike(o.group_pattern))
 
 
 def routed_type(name: Column, kind: Column, o: Ontology = DEFAULT) -> Column:
@@ -102,7 +121,7 @@ def routed_type(name: Column, kind: Column, o: Ontology = DEFAULT) -> Column:
 
 def consistent_type(name: Column, kind: Column, o: Ontology = DEFAULT) -> Column:
     """Allowed type of a normalised name: names that aren't in the canonical language are other, then the routing."""
-    t, n = entity_type(kind, o), entity_name(name)
+    t, n = entity_type(kind, o), entity_name(name, o)
     foreign = ~has_cjk(n) & has_ascii_word(n) & ~t.isin(o.other_type, o.multimodal_type, *o.attribute_fields)
     t = F.when(F.lit(o.canonical_language == "zh") & foreign, o.other_type).otherwise(t)
     return routed_type(n, t, o)
@@ -167,28 +186,26 @@ def bigram_cosine(a: Column, b: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Sentences of Chinese text, trimmed, none blank; the whole where there is none."""
-    parts = F.filter(F.transform(F.split(c, r"(?<=[。！？；;])\s*|\n+"), lambda x: F.trim(x)), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(c, SENTENCE_END), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.trim(c)))
 
 
 def quote_source(c: Column) -> Column:
     """Chunk content without image path, label of an analysis and empty captions."""
     t = squeeze(c)
-    for p in (r"(?i)(?:图片路径|Image Path)\s*[:：]\s*\S+\s*", r"图片内容分析\s*[:：]\s*", r"标注\s*[:：]\s*None\s*", r"脚注\s*[:：]\s*None\s*"):
+    for p in QUOTE_NOISE:
         t = F.regexp_replace(t, p, "")
     return F.trim(t)
 
 
 def around(text: Column, terms: Column, most: int) -> Column:
-    """A window of most characters a third of which lies before the first term; dots where it was cut."""
-    places = F.filter(F.transform(terms, lambda t: F.position(t, text)), lambda i: i > 0)
-    at = F.array_min(places) - 1
-    begin = F.greatest(F.lit(0), at - most // 3)
-    end = F.least(F.length(text), begin + most)
-    begin = F.greatest(F.lit(0), end - most)
-    piece = F.trim(text.substr(begin + 1, end - begin))
-    cut = F.concat(F.when(begin > 0, "...").otherwise(""), piece, F.when(end < F.length(text), "...").otherwise(""))
-    return F.when(F.length(text) <= most, text).when(F.size(places) == 0, F.rtrim(text.substr(1, most))).otherwise(cut)
+    """At most so many characters: the window in which the first term stands a third of the way in, moved back at the end of the text; dots mark cuts."""
+    first = F.array_min(F.filter(F.transform(terms, lambda t: F.position(t, text)), lambda p: p > 0))
+    begin = F.least(F.greatest(first - 1 - most // 3, F.lit(0)), F.length(text) - most)
+    window = F.trim(F.substring(text, begin + 1, F.lit(most)))
+    dots = lambda cond: F.when(cond, "...").otherwise("")
+    found = F.concat(dots(begin > 0), window, dots(begin + most < F.length(text)))
+    return F.when(F.length(text) <= most, text).when(first.isNull(), F.rtrim(F.substring(text, 1, most))).otherwise(found)
 
 
 def truncated(text: Column, most: int) -> Column:

@@ -8,9 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spindle.functions.ontology import DEFAULT, Ontology
+from spindle.functions.predicates import chunk_text
 from spindle.functions.text import squeeze, truncated
 
 CAPTIONS = ["image_caption", "table_caption", "image_footnote", "table_footnote"]
+#: Pages, or blocks, of a file that are put into context in one task, halos aside.
+RANGE = 1000
 
 
 def drop_reason(o: Ontology = DEFAULT) -> Column:
@@ -19,19 +22,16 @@ def drop_reason(o: Ontology = DEFAULT) -> Column:
     empty = F.array().cast("array<string>")
     captions = [F.coalesce(F.col(c), empty) for c in CAPTIONS]
     own_path = F.when((F.col("type") == "text") & F.col("img_path").isNotNull(), F.array("img_path")).otherwise(empty)
-    qr = F.when(F.lower(F.coalesce("img_path", F.lit(""))).rlike("qr|二维码"), F.array(F.lit("QR码"))).otherwise(empty)
+    qr = F.when(F.coalesce("img_path", F.lit("")).rlike("(?i)" + o.qr_path_pattern), F.array(F.lit("QR码"))).otherwise(empty)
     texts = F.concat(F.when(F.col("text").isNotNull(), F.array("text")).otherwise(empty), *captions, own_path, qr)
-    found = F.when(F.lit(False), "")
-    text = lambda x: squeeze(x)
 
     def reason(x: Column) -> Column:
-        out = F.when(text(x) == "", F.lit(None).cast("string"))
+        out = F.when(squeeze(x) == "", F.lit(None).cast("string"))
         for name, pattern in o.noise_patterns:
-            out = out.when(text(x).rlike("(?i)" + pattern), name)
+            out = out.when(squeeze(x).rlike("(?i)" + pattern), name)
         return out
 
     first = F.get(F.filter(F.transform(texts, reason), lambda r: r.isNotNull()), F.lit(0))
-    del found
     return F.when(kind.isin(*o.noise_types), F.concat(F.lit("type:"), kind)).when(first.isNotNull(), F.concat(F.lit("pattern:"), first))
 
 
@@ -72,23 +72,45 @@ def page_texts(blocks: DataFrame, types: tuple[str, ...] = ("text",)) -> DataFra
     return blocks.withColumn("said", context_text()).groupBy("file_path", "page_idx").agg(F.array_sort(F.collect_list(said))["said"].alias("said"))
 
 
+def in_ranges(df: DataFrame, order: str, window: int) -> DataFrame:
+    """df with part, the range of the order that a row is of, and own: rows near a bound come in both ranges, once as their own.
+
+    Windows over part see all neighbours that a row of their own has, so that no file is ordered in one task.
+    """
+    size = max(RANGE, 4 * window)
+    at = lambda d: F.floor((F.col(order) + d) / size)
+    return df.withColumn("part", F.explode(F.array_distinct(F.array(at(0), at(-window), at(window))))).withColumn("own", F.col("part") == at(0))
+
+
 def page_context(blocks: DataFrame, window: int = 1, types: tuple[str, ...] = ("text",), most: int | None = None) -> DataFrame:
     """file_path, page_idx, context: texts of the pages up to window away, other pages marked by number."""
-    pages = page_texts(blocks, types)
-    w = Window.partitionBy("file_path").orderBy("page_idx").rangeBetween(-window, window)
+    pages = in_ranges(page_texts(blocks, types), "page_idx", window)
+    w = Window.partitionBy("file_path", "part").orderBy("page_idx").rangeBetween(-window, window)
     near = F.collect_list(F.struct("page_idx", "said")).over(w)
     mark = lambda p: F.transform(p["said"], lambda s: F.when(p["page_idx"] != F.col("page_idx"), F.concat(F.lit("[Page "), p["page_idx"], F.lit("] "), s)).otherwise(s))
     context = F.array_join(F.flatten(F.transform("near", mark)), "\n")
-    return pages.withColumn("near", near).select("file_path", "page_idx", (truncated(context, most) if most else context).alias("context"))
+    return pages.withColumn("near", near).filter("own").select("file_path", "page_idx", (truncated(context, most) if most else context).alias("context"))
+
 
+def positioned(df: DataFrame, by: str, order: str, tie: str) -> DataFrame:
+    """df with position: the number of a row within its group, from 0 on, by counts of ranges of the order and ranks within them."""
+    parted = df.withColumn("part", F.floor(F.col(order) / RANGE))
+    sizes = parted.groupBy(F.col(by).alias("_by"), F.col("part").alias("_part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("_by").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    r = F.row_number().over(Window.partitionBy(by, "part").orderBy(order, tie))
+    same = F.col(by).eqNullSafe(F.col("_by")) & F.col("part").eqNullSafe(F.col("_part"))
+    return parted.withColumn("r", r).join(sizes.withColumn("before", before), same).withColumn("position", F.col("before") + F.col("r") - 1).drop("_by", "_part", "part", "n", "before", "r")
 
-def chunk_context(blocks: DataFrame, window: int = 1, types: tuple[str, ...] = ("text",)) -> DataFrame:
+
+def chunk_context(blocks: DataFrame, window: int = 1, types: tuple[str, ...] = ("text",), tie: str = "block_id") -> DataFrame:
     """file_path, block_idx, context: the neighbours in reading order, the block itself left out."""
     said = F.when(F.col("type").isin(*types) & (F.trim(context_text()) != ""), context_text())
-    base = Window.partitionBy("file_path").orderBy("block_idx")
+    rows = positioned(blocks.select("file_path", "block_idx", tie, said.alias("said")), "file_path", "block_idx", tie)
+    base = Window.partitionBy("file_path", "part").orderBy("position")
     before = F.collect_list("said").over(base.rowsBetween(-window, -1))
     after = F.collect_list("said").over(base.rowsBetween(1, window))
-    return blocks.withColumn("said", said).select("file_path", "block_idx", F.array_join(F.concat(before, after), "\n").alias("context"))
+    out = in_ranges(rows, "position", window).withColumn("context", F.array_join(F.concat(before, after), "\n"))
+    return out.filter("own").select("file_path", "block_idx", "context")
 
 
 def block_key() -> Column:
@@ -106,22 +128,10 @@ def document_ids(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("file_path").agg(F.concat(F.lit("doc-"), F.md5(F.array_join(F.array_sort(F.collect_list(key))["k"], "\n"))).alias("doc_id"))
 
 
-def signatures(blocks: DataFrame) -> DataFrame:
-    """Per file: a signature of the hashes of its blocks that aren't text, by which a finished file is known again."""
-    one = F.md5(F.concat_ws("|", "type", F.coalesce("img_path", F.lit("")), F.coalesce("table_body", F.lit("")), F.array_join(F.coalesce("image_caption", F.array().cast("array<string>")), ","), F.col("block_idx").cast("string")))
-    return blocks.filter(F.col("type") != "text").groupBy("file_path").agg(
-        F.md5(F.array_join(F.array_sort(F.collect_list(F.struct("block_idx", one.alias("h"))))["h"], "||")).alias("signature"), F.count(F.lit(1)).alias("n_items")
-    )
-
-
-def multimodal_chunks(blocks: DataFrame) -> DataFrame:
-    """Chunks made of images and tables by template, with an id that is a hash of the content."""
-    shown = lambda c: F.when(F.coalesce(F.size(c), F.lit(0)) == 0, "None").otherwise(F.array_join(F.col(c), ", "))
-    line = lambda label, value: F.concat(F.lit(label), value)
-    image = F.concat_ws("\n", F.lit("Image Content Analysis:"), line("Image Path: ", F.coalesce("img_path", F.lit(""))), line("Captions: ", shown("image_caption")), line("Footnotes: ", shown("image_footnote")))
-    grid = F.concat_ws("\n", F.lit("Table Analysis:"), line("Image Path: ", F.coalesce("img_path", F.lit(""))), line("Caption: ", shown("table_caption")), line("Structure: ", F.coalesce("table_body", F.lit(""))), line("Footnotes: ", shown("table_footnote")))
-    content = F.when(F.col("type") == "image", image).otherwise(grid)
+def multimodal_chunks(blocks: DataFrame, language: str = "en", description: Column | None = None) -> DataFrame:
+    """Chunks of all blocks that aren't text by the template of their type, with an id that is a hash of the content."""
+    said = chunk_text(description if description is not None else F.lit(""), language, tuple(blocks.columns))
     return (
-        blocks.filter(F.col("type").isin("image", "table")).withColumn("content", content)
+        blocks.filter(F.coalesce("type", F.lit("text")) != "text").withColumn("content", said)
         .select(F.concat(F.lit("chunk-"), F.md5("content")).alias("chunk_id"), "file_path", "block_idx", "page_idx", F.col("type").alias("original_type"), "content")
     )

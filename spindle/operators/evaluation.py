@@ -6,8 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from spindle.functions.ontology import DEFAULT, Ontology
-from spindle.functions.text import around, clamped, quote_source, sentences
+from spindle.functions.text import clamped
 
 
 def evidence_rows(packs: DataFrame, key: str) -> DataFrame:
@@ -22,29 +21,6 @@ def evidence_chunks(packs: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
     return rows.join(told, "chunk_id")
 
 
-def quotes(chunks: DataFrame, terms: tuple[str, ...], hints: tuple[str, ...] = (), most: int = 420) -> DataFrame:
-    """chunk_id and quote: the sentence with most terms (three points each, hints one), with neighbours that have a term too."""
-    cleaned = quote_source(F.col("content"))
-    s = chunks.select("chunk_id", F.posexplode(sentences(cleaned)).alias("i", "s"))
-    has = lambda words: sum((F.col("s").contains(w).cast("int") for w in words), F.lit(0))
-    scored = s.withColumn("hits", has(terms)).withColumn("score", F.when(F.col("hits") > 0, 3 * F.col("hits") + has(hints)))
-    w = Window.partitionBy("chunk_id").orderBy("i")
-    near = lambda f: F.when(f("hits").over(w) > 0, f("s").over(w)).otherwise("")
-    scored = scored.withColumn("before", near(F.lag)).withColumn("after", near(F.lead))
-    best = scored.filter(F.col("score").isNotNull()).groupBy("chunk_id").agg(F.max_by(F.concat("before", "s", "after"), F.struct("score", (-F.col("i")).alias("i"))).alias("quote"))
-    return best.select("chunk_id", around(F.col("quote"), F.array(*[F.lit(t) for t in terms]), most).alias("quote"))
-
-
-def task_packs(packs: DataFrame, o: Ontology = DEFAULT) -> DataFrame:
-    """task, pack_id: each pack with the tasks that its type and the terms of its context allow."""
-    out = None
-    for task, types, terms in o.tasks:
-        fits = F.col("entity_type").isin(*types) & F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.col("context").contains(t)) & (F.col("modality") == "text")
-        part = packs.filter(fits).select(F.lit(task).alias("task"), "pack_id")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def scaled_quotas(base: dict[str, int], total: int) -> dict[str, int]:
     """Quotas in the proportions of base that add up to total: rounded, the rest dealt out from the greatest on."""
     whole = sum(base.values()) or 1
@@ -137,23 +113,52 @@ def nearest_rank(df: DataFrame, by: str, value: str, share: float = 0.95) -> Dat
 
 
 def review_sheet(samples: DataFrame) -> DataFrame:
-    """Flat rows for reviewers: evidence and reasons joined by strokes."""
-    joined = lambda f: F.array_join(F.transform("evidence", lambda e: F.coalesce(e[f], F.lit(""))), "|")
-    return samples.select("id", "task_type", "modality", "question", "gold_answer", joined("chunk_id").alias("chunk_ids"), joined("file_path").alias("file_paths"),
-                          F.array_join("quality.reasons", "|").alias("reasons"), F.col("quality.judge_score").alias("judge_score"))
+    """Flat rows of fourteen columns for reviewers: chunks and reasons joined by strokes, blanks for what a sample doesn't have, room for a decision."""
+    q, m, have = F.col("quality"), F.col("metadata"), set(samples.schema["metadata"].dataType.fieldNames())
+    some = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    part = lambda n: some(m[n]) if n in have else F.lit("")
+    level = some(F.col("difficulty")) if "difficulty" in samples.columns else F.lit("")
+    chunk = F.array_join(F.transform(F.coalesce("evidence", F.array().cast(samples.schema["evidence"].dataType)), lambda e: F.coalesce(e["chunk_id"], F.lit(""))), "|")
+    return samples.select(
+        some(F.col("id")).alias("id"), some(q["status"]).alias("status"), some(F.col("task_type")).alias("task_type"), some(F.col("modality")).alias("modality"), level.alias("difficulty"), part("core_entity").alias("core_entity"),
+        part("entity_type").alias("entity_type"), some(F.col("question")).alias("question"), some(F.col("gold_answer")).alias("gold_answer"), chunk.alias("evidence_chunks"), some(q["judge_score"]).alias("judge_score"),
+        F.coalesce(F.array_join(q["reasons"], "|"), F.lit("")).alias("reasons"), F.lit("").alias("manual_decision"), F.lit("").alias("manual_notes"),
+    )
 
 
-def flat_evidence(samples: DataFrame) -> DataFrame:
-    """One row per item of evidence, one for samples without any."""
-    e = samples.select("id", "task_type", F.col("quality.status").alias("quality_status"), F.col("metadata.core_entity").alias("metadata_core_entity"), F.explode_outer("evidence").alias("e"))
-    return e.select("id", "task_type", "quality_status", "metadata_core_entity", F.col("e.chunk_id").alias("evidence_chunk_id"), F.col("e.file_path").alias("evidence_file_path"), F.col("e.quote").alias("evidence_quote"))
+def flattened(c: Column, kind, prefix: str) -> list[Column]:
+    """All plain fields of a struct of any depth, under the names of the way to them; lists joined by strokes."""
+    out = []
+    for f in kind.fields:
+        name, x = f"{prefix}_{f.name}" if prefix else f.name, c[f.name] if c is not None else F.col(f.name)
+        if f.dataType.typeName() == "struct":
+            out += flattened(x, f.dataType, name)
+        elif f.dataType.typeName() == "array":
+            out.append(F.array_join(x.cast("array<string>"), "|").alias(name))
+        else:
+            out.append(x.alias(name))
+    return out
 
 
-def sample_ids(samples: DataFrame, key: str, group: str) -> DataFrame:
-    """key, sample_id: group and running number within it, numbered in the order of key."""
-    r = F.row_number().over(Window.partitionBy(group).orderBy(key))
-    return samples.select(key, F.concat_ws("_", F.col(group), F.lpad(r.cast("string"), 8, "0")).alias("sample_id"))
+def flat_evidence(samples: DataFrame) -> DataFrame:
+    """One row per item of evidence, one for samples without any; every field of a sample, its quality and metadata is a column, in the order of names."""
+    item = samples.schema["evidence"].dataType.elementType
+    e = samples.withColumn("evidence", F.explode_outer("evidence"))
+    cols = [c for n in samples.columns if n not in ("evidence", "quality", "metadata") for c in [F.col(n)]]
+    cols += flattened(F.col("evidence"), item, "evidence")
+    for n in ("quality", "metadata"):
+        if n in samples.columns:
+            cols += flattened(F.col(n), samples.schema[n].dataType, n)
+    out = e.select(*cols)
+    return out.select(*sorted(out.columns))
 
 
-def rejected_with(reasons: Column, more: str) -> Column:
-    return F.array_distinct(F.concat(F.coalesce(reasons, F.array().cast("array<string>")), F.array(F.lit(more))))
+def sample_ids(samples: DataFrame, key: str, group: str) -> DataFrame:
+    """key, sample_id: group and running number within it, numbered in the order of a hash of key, bucket by bucket, so that no group is ranked in one task."""
+    s = samples.select(key, group, F.md5(F.col(key).cast("string")).alias("h")).withColumn("bucket", F.substring("h", 1, 3))
+    sizes = s.groupBy(F.col(group).alias("_g"), F.col("bucket").alias("_b")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    r = F.row_number().over(Window.partitionBy(group, "bucket").orderBy("h", key))
+    same = F.col(group).eqNullSafe(F.col("_g")) & (F.col("bucket") == F.col("_b"))
+    out = s.withColumn("r", r).join(sizes.withColumn("before", before), same)
+    return out.select(key, F.concat_ws("_", F.col(group), F.lpad((F.col("before") + F.col("r")).cast("string"), 8, "0")).alias("sample_id"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spindle.functions.ontology import DEFAULT, Ontology
-from spindle.functions.text import attribute_field, attribute_value, bigram_cosine, compare_name, consistent_type, entity_name, has_cjk, relation_allowed, relation_of, squeeze
+from spindle.functions.text import attribute_value, bigram_cosine, bigrams, compare_name, consistent_type, entity_name, has_cjk, relation_allowed, relation_of, squeeze
 from spindle.functions.udfs import sequence_ratio
 from spindle.session import written
 
@@ -104,12 +104,6 @@ def project_attributes(nodes: DataFrame, edges: DataFrame, o: Ontology = DEFAULT
     return both.join(attributes, ["kb_id", "attribute"]).join(hosts, ["kb_id", "host"], "left_semi").select("kb_id", "host", "field", value.alias("value")).distinct()
 
 
-def edge_attributes(edges: DataFrame, o: Ontology = DEFAULT) -> DataFrame:
-    """Edges with the attribute field that their words name, where they name one."""
-    field = attribute_field(F.col("relation_type"), F.lit(""), F.col("description"), o)
-    return edges.withColumn("field", field).filter(F.col("field") != "")
-
-
 def incident(edges: DataFrame) -> DataFrame:
     """kb_id, name, other: each edge from both its ends; a loop once."""
     a = edges.select("kb_id", F.col("source").alias("name"), F.col("target").alias("other"), "edge_id")
@@ -126,25 +120,42 @@ def graph_report(nodes: DataFrame, edges: DataFrame, relation: str = "relation")
     )
 
 
+GROUP = ["kb_id", "entity_type"]
+
+
+def _sharing(prefix: DataFrame) -> DataFrame:
+    """Pairs a < b of one knowledge base and type that share a gram of their prefixes (GROUP, g, a, k)."""
+    left = prefix.select(*GROUP, "g", "a", F.col("k").alias("ka"))
+    right = prefix.select(*GROUP, "g", F.col("a").alias("b"), F.col("k").alias("kb"))
+    return left.join(right, [*GROUP, "g"]).filter(F.col("a") < F.col("b")).select(*GROUP, "a", "b", "ka", "kb")
+
+
 def similar_names(nodes: DataFrame, least: float = 0.86) -> DataFrame:
     """kb_id, entity_type, a, b, similarity of different names of one type that are alike.
 
-    Similarity is 1 for names equal but for marks, else the greater of matching blocks and bigram
-    cosine. Two names that reach least leave at most u characters of either unmatched, so that they
-    share one of the u + 1 rarest characters of each, on which the equi-join runs (prefix filtering). Names are distinct per kb and type.
+    Similarity is 1 for names equal but for marks, else the greater of matching blocks and cosine of
+    bigram counts. Candidates are exact for both (prefix filtering, rarest grams first). Of two names
+    whose blocks reach least, at most u characters of either stay unmatched, so that they share one
+    of the u + 1 rarest characters of each. Of two names whose cosine reaches it, the rarest shared
+    bigram is followed, in each, by bigrams that make least of its norm.
     """
-    n = nodes.select("kb_id", "entity_type", F.col("name").alias("a")).distinct().withColumn("k", compare_name(F.col("a"))).filter(F.col("k") != "")
-    grams = n.withColumn("g", F.explode(F.array_distinct(F.split("k", "(?!^)(?=.)"))))
-    df = grams.groupBy("kb_id", "entity_type", "g").agg(F.count(F.lit(1)).alias("df"))
-    ranked = grams.join(df, ["kb_id", "entity_type", "g"]).withColumn("rank", F.row_number().over(Window.partitionBy("kb_id", "entity_type", "a").orderBy("df", "g")))
+    n = nodes.select(*GROUP, F.col("name").alias("a")).distinct().withColumn("k", compare_name(F.col("a"))).filter(F.col("k") != "")
+
+    def with_df(grams: DataFrame) -> DataFrame:
+        return grams.join(grams.groupBy(*GROUP, "g").agg(F.count(F.lit(1)).alias("df")), [*GROUP, "g"])
+
+    rarest = Window.partitionBy(*GROUP, "a").orderBy("df", "g")
+    chars = with_df(n.withColumn("g", F.explode(F.array_distinct(F.split("k", "(?!^)(?=.)")))))
     longest = F.floor(F.length("k") / (least * least))
-    prefix = ranked.filter(F.col("rank") <= F.floor((1 - least) * (F.length("k") + longest) + 1e-6) + 1)
-    left = prefix.select("kb_id", "entity_type", "g", "a", F.col("k").alias("ka"))
-    right = prefix.select("kb_id", "entity_type", "g", F.col("a").alias("b"), F.col("k").alias("kb"))
+    first = chars.withColumn("rank", F.row_number().over(rarest)).filter(F.col("rank") <= F.floor((1 - least) * (F.length("k") + longest) + 1e-6) + 1)
     near = F.least(F.length("ka"), F.length("kb")) >= F.greatest(F.length("ka"), F.length("kb")) * (least * least)
-    pairs = left.join(right, ["kb_id", "entity_type", "g"]).filter((F.col("a") < F.col("b")) & near).drop("g").distinct()
+    two = with_df(n.withColumn("g", F.explode(bigrams(F.col("k")))).groupBy(*GROUP, "a", "k", "g").agg(F.count(F.lit(1)).alias("c")))
+    square = F.sum(F.col("c") * F.col("c"))
+    rest, whole = square.over(rarest.rowsBetween(Window.currentRow, Window.unboundedFollowing)), square.over(Window.partitionBy(*GROUP, "a"))
+    heavy = two.withColumn("rest", rest).withColumn("whole", whole).filter(F.col("rest") >= F.col("whole") * (least * least - 1e-9))
+    pairs = _sharing(first).filter(near).unionByName(_sharing(heavy)).distinct()
     s = F.when(F.col("ka") == F.col("kb"), 1.0).otherwise(F.greatest(sequence_ratio("ka", "kb"), bigram_cosine(F.col("ka"), F.col("kb"))))
-    return pairs.withColumn("similarity", s).filter(F.col("similarity") >= least).select("kb_id", "entity_type", "a", "b", "similarity")
+    return pairs.withColumn("similarity", s).filter(F.col("similarity") >= least).select(*GROUP, "a", "b", "similarity")
 
 
 def components(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
@@ -153,7 +164,7 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
     Each round is written to the shared folder. Labels never leave the executors; a node of many
     neighbours is aggregated, not gathered.
     """
-    edges = written(pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).filter(F.col("u") != F.col("v")), "components")
+    edges, mark = written(pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).filter(F.col("u") != F.col("v")), "components"), None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -164,9 +175,9 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
         after = written(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter(F.col("u") != F.col("v")).distinct(), "components"
         )
-        same = after.exceptAll(edges.select("u", "v")).isEmpty() and edges.select("u", "v").exceptAll(after).isEmpty()
-        edges = after
-        if same:
+        edges, before = after, mark
+        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first()
+        if mark == before:  # rows are distinct: the same number, sum and mix of hashes is the same rows
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
@@ -174,19 +185,6 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
 
 
-def resolution(nodes: DataFrame, least: float = 0.93, most_members: int = 12) -> DataFrame:
-    """kb_id, entity_type, name, canonical of names that are merged: groups of two to most_members alike; the best known name stands."""
-    key = lambda c: F.concat_ws("\u0001", "kb_id", "entity_type", c)
-    pairs = similar_names(nodes, least).select(key("a").alias("a"), key("b").alias("b"))
-    groups = components(pairs)
-    told = groups.withColumn("p", F.split("node", "\u0001")).select("component", F.col("p")[0].alias("kb_id"), F.col("p")[1].alias("entity_type"), F.col("p")[2].alias("name"))
-    known = nodes.select("kb_id", "name", F.length("description").alias("said"), F.col("n_merged"))
-    scored = told.join(known, ["kb_id", "name"], "left")
-    score = F.struct(has_cjk(F.col("name")).cast("int").alias("cjk"), F.col("n_merged"), F.least("said", F.lit(300)).alias("said"), (-F.length("name")).alias("short"), F.col("name"))
-    best = scored.groupBy("component").agg(F.max_by("name", score).alias("canonical"), F.count(F.lit(1)).alias("members"))
-    return told.join(best.filter(F.col("members").between(2, most_members)), "component").select("kb_id", "entity_type", "name", "canonical")
-
-
 def subgraph(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, most_nodes: int = 180, most_edges: int = 360) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges that chunks (chunk_id) support: nodes hit or at the end of an edge hit, capped per kb in the order of their ids."""
     hit = lambda df: df.withColumn("chunk_id", F.explode(keys_of("source_ids"))).join(chunks, "chunk_id", "left_semi")

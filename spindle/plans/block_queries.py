@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spindle.functions.text import file_name, has_ascii_word, has_cjk, image_paths, suffix_of, truncated
-from spindle.operators import blocks as B
+from spindle.operators import blocks as B, documents as D
 from spindle.operators.records import first_version
 from spindle.session import table
 
@@ -52,12 +52,23 @@ def block_chunks(spark, d):
     return B.multimodal_chunks(blocks(spark, d)).select("chunk_id", "file_path", "block_idx", "page_idx", "original_type")
 
 
+def block_chunks_zh(spark, d):
+    """Chunks by the Chinese templates, with the first caption as description."""
+    b = blocks(spark, d).filter(F.col("type").isin("image", "header"))
+    c = B.multimodal_chunks(b, "zh", F.coalesce(F.get("image_caption", F.lit(0)), F.lit("")))
+    return c.select("chunk_id", "file_path", "block_idx", F.length("content").alias("n_chars"))
+
+
 def block_document_ids(spark, d):
     return B.document_ids(blocks(spark, d))
 
 
+def block_item_hashes(spark, d):
+    return D.item_hashes(blocks(spark, d))
+
+
 def block_signatures(spark, d):
-    return B.signatures(blocks(spark, d))
+    return D.signatures(D.item_hashes(blocks(spark, d)))
 
 
 def block_paths(spark, d):
@@ -72,13 +83,15 @@ def block_scripts(spark, d):
 
 
 def chunk_image_paths(spark, d):
-    c = table(spark, d, "chunks").select("chunk_id", "content").distinct()
+    """Image paths in chunks made of blocks, in either language, with a blank in their names."""
+    b = blocks(spark, d).filter(F.col("type") == "image").withColumn("img_path", F.regexp_replace("img_path", r"^(.{3})", "$1 "))
+    c = B.multimodal_chunks(b).unionByName(B.multimodal_chunks(b, "zh"))
     return c.select("chunk_id", F.explode(image_paths(F.col("content"))).alias("img_path")).distinct()
 
 
 QUERIES = {f.__name__: f for f in (
     block_filter_report, block_filtered, block_separation, block_types, block_page_context, block_chunk_context, block_text_truncated, block_chunks,
-    block_document_ids, block_signatures, block_paths, block_scripts, chunk_image_paths,
+    block_chunks_zh, block_document_ids, block_item_hashes, block_signatures, block_paths, block_scripts, chunk_image_paths,
 )}
 
 W = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -95,13 +108,20 @@ _REASON = _B + rf""", t as (
   union all select block_id, 6, 0, 'QR码' from b where regexp_matches(lower(coalesce(img_path, '')), 'qr|二维码')),
 s as (select block_id, n, m, {SQUEEZE('x')} x from t),
 h as (select block_id, n, m, case when x = '' then null when regexp_matches(x, '(?i)^\s*None\s*$') then 'none' when regexp_matches(x, '^\s*\d+\s*$') then 'number'
-  when regexp_matches(x, '^\s*第?\s*\d+\s*页\s*$') then 'page' when regexp_matches(x, '(?i)QR|二维码|扫码') then 'qr'
+  when regexp_matches(x, '^\s*第?\s*\d+\s*页\s*$') then 'page' when regexp_matches(x, '蔬菜病虫害诊断[与于]防治原色图谱') then 'title' when regexp_matches(x, '(?i)QR|二维码|扫码') then 'qr'
   when regexp_matches(x, '(?i)^(?:[A-Za-z]:)?[/\\].+\.(?:jpg|jpeg|png|bmp|gif|webp|tiff?)\s*$') then 'path' end r from s),
 f as (select block_id, arg_min(r, n * 100000 + m) r from h where r is not null group by 1),
 q as (select b.block_id, b.type, case when lower({SQUEEZE('b.type')}) in ('header', 'page_number') then 'type:' || lower({SQUEEZE('b.type')}) when f.r is not null then 'pattern:' || f.r end reason from b left join f using (block_id))
 """
 _SAID = "case when type = 'text' then case when coalesce(text_level, 0) > 0 then repeat('#', text_level) || ' ' || coalesce(text, '') else coalesce(text, '') end else '' end"
 _SHOWN = "case when coalesce(len({0}), 0) = 0 then 'None' else array_to_string({0}, ', ') end"
+_IMAGE = "chr(10) || 'Image Content Analysis:' || chr(10) || 'Image Path: ' || coalesce({0}, '') || chr(10) || 'Captions: ' || " + _SHOWN.format("image_caption") + " || chr(10) || 'Footnotes: ' || " + _SHOWN.format("image_footnote") + " || chr(10) || chr(10) || 'Visual Analysis: '"
+_IMAGE_ZH = "chr(10) || '图片内容分析：' || chr(10) || '图片路径：' || coalesce({0}, '') || chr(10) || '标注：' || " + _SHOWN.format("image_caption") + " || chr(10) || '脚注：' || " + _SHOWN.format("image_footnote") + " || chr(10) || chr(10) || '视觉分析：'"
+_PAIR = lambda name, value: f"""case when {name} is not null then '"{name}": ' || {value} end"""
+_LIST = lambda c: f"'[' || array_to_string(list_transform({c}, lambda x: coalesce(to_json(x)::varchar, 'null')), ', ') || ']'"
+_ITEMS = _B + f""", it as (select *, row_number() over (partition by file_path order by block_idx, block_id) - 1 i from b where type <> 'text'),
+ih as (select file_path, block_idx, i item_idx, md5('{{' || concat_ws(', ', {_PAIR('image_caption', _LIST('image_caption'))}, {_PAIR('image_footnote', _LIST('image_footnote'))}, {_PAIR('img_path', 'to_json(img_path)::varchar')}, '"index": ' || i, {_PAIR('page_idx', 'page_idx')}, {_PAIR('table_body', 'to_json(table_body)::varchar')},
+  {_PAIR('table_caption', _LIST('table_caption'))}, {_PAIR('table_footnote', _LIST('table_footnote'))}, {_PAIR('text', 'to_json(text)::varchar')}, {_PAIR('type', 'to_json(type)::varchar')}) || '}}') item_hash from it)"""
 ORACLE_SQL = {
     "block_filter_report": _REASON + "select coalesce(reason, 'kept') reason, count(*) n_blocks from q group by 1",
     "block_filtered": _REASON + "select block_id, type from q where reason is null",
@@ -119,14 +139,17 @@ ORACLE_SQL = {
     "block_text_truncated": _B + """, h as (select block_id, text, text[1:60] head, length(text[1:60]) n from b where type = 'text' and text is not null),
       p as (select *, case when contains(head, '.') then n - strpos(reverse(head), '.') else -1 end stop, case when contains(head, chr(10)) then n - strpos(reverse(head), chr(10)) else -1 end line from h)
       select block_id, case when length(text) <= 60 then text when stop > n * 0.8 then head[1:stop + 1] when line > n * 0.8 then head[1:line] else head || '...' end head from p""",
-    "block_chunks": _B + f"""select 'chunk-' || md5(case when type = 'image' then 'Image Content Analysis:' || chr(10) || 'Image Path: ' || coalesce(img_path, '') || chr(10) || 'Captions: ' || {_SHOWN.format('image_caption')} || chr(10) || 'Footnotes: ' || {_SHOWN.format('image_footnote')}
-      else 'Table Analysis:' || chr(10) || 'Image Path: ' || coalesce(img_path, '') || chr(10) || 'Caption: ' || {_SHOWN.format('table_caption')} || chr(10) || 'Structure: ' || coalesce(table_body, '') || chr(10) || 'Footnotes: ' || {_SHOWN.format('table_footnote')} end) chunk_id,
-      file_path, block_idx, page_idx, type original_type from b where type in ('image', 'table')""",
+    "block_chunks": _B + f"""select 'chunk-' || md5(case when type = 'image' then {_IMAGE.format('img_path')} when type = 'table' then 'Table Analysis:' || chr(10) || 'Image Path: ' || coalesce(img_path, '') || chr(10) || 'Caption: ' || {_SHOWN.format('table_caption')} || chr(10) || 'Structure: ' || coalesce(table_body, '') || chr(10) || 'Footnotes: ' || {_SHOWN.format('table_footnote')} || chr(10) || chr(10) || 'Analysis: '
+      else case type when 'header' then 'Header' when 'page_number' then 'Page_number' else type end || ' Content Analysis:' || chr(10) || 'Content: ' || coalesce(text, '') || chr(10) || chr(10) || 'Analysis: ' end) chunk_id,
+      file_path, block_idx, page_idx, type original_type from b where coalesce(type, 'text') <> 'text'""",
+    "block_chunks_zh": _B + f""", z as (select *, case when type = 'image' then {_IMAGE_ZH.format('img_path')} || coalesce(image_caption[1], '') else 'Header内容分析：' || chr(10) || '内容：' || coalesce(text, '') || chr(10) || chr(10) || '分析：' || coalesce(image_caption[1], '') end t from b where type in ('image', 'header'))
+      select 'chunk-' || md5(t) chunk_id, file_path, block_idx, length(t) n_chars from z""",
     "block_document_ids": _B + """, k as (select file_path, block_idx, case when type = 'text' then trim(coalesce(text, ''), ' ') when type = 'image' then 'image:' || coalesce(img_path, '') when type = 'table' then 'table:' || coalesce(table_body, '') else type || ':' || coalesce(text, '') end k from b)
       select file_path, 'doc-' || md5(coalesce(string_agg(md5(k), chr(10) order by block_idx, md5(k)) filter (k <> ''), '')) doc_id from k group by 1""",
-    "block_signatures": _B + """, h as (select file_path, block_idx, md5(type || '|' || coalesce(img_path, '') || '|' || coalesce(table_body, '') || '|' || array_to_string(coalesce(image_caption, []), ',') || '|' || block_idx) h from b where type <> 'text')
-      select file_path, md5(string_agg(h, '||' order by block_idx, h)) signature, count(*) n_items from h group by 1""",
+    "block_item_hashes": _ITEMS + " select file_path, block_idx, item_idx::int item_idx, item_hash from ih",
+    "block_signatures": _ITEMS + " select file_path, md5(string_agg(item_hash, '||' order by item_idx)) signature, count(*) n_items from ih group by 1",
     "block_paths": _B + r"""select block_id, regexp_extract(img_path, '([^/\\]*)$', 1) file_name, lower(regexp_extract(img_path, '(\.[^./\\]+)$', 1)) suffix, regexp_matches(lower(img_path), 'qr|二维码') qr from b where img_path is not null""",
     "block_scripts": _B + r"""select file_path, count(*) filter (regexp_matches(text, '[\x{4e00}-\x{9fff}]')) n_cjk, count(*) filter (regexp_matches(text, '[A-Za-z]{2,}')) n_ascii, sum(length(text))::bigint n_chars from b where text is not null group by 1""",
-    "chunk_image_paths": r"select distinct chunk_id, unnest(regexp_extract_all(content, '(?i)(?:图片路径|Image Path)\s*[:：]\s*(\S+?\.(?:jpg|jpeg|png|gif|bmp|webp|tiff?))', 1)) img_path from (select distinct chunk_id, content from chunks)",
+    "chunk_image_paths": _B + f""", w as (select * replace (regexp_replace(img_path, '^(.{{3}})', '\\1 ') as img_path) from b where type = 'image'), t as (select {_IMAGE.format('img_path')} t from w union select {_IMAGE_ZH.format('img_path')} from w)
+      select distinct 'chunk-' || md5(t) chunk_id, unnest(regexp_extract_all(t, '(?i)(?:Image\\s*Path|图片路径)\\s*[:：]\\s*([^\\n\\r]*?\\.(?:jpg|jpeg|png|gif|bmp|webp|tiff|tif))', 1)) img_path from t""",
 }

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from spindle.functions.udfs import first_json_object
 from spindle.functions.text import squeeze
 from spindle.operators import evaluation as E, state as S
-from spindle.operators.records import first_version
-from spindle.plans.block_queries import SQUEEZE
+from spindle.operators.records import first_version, latest_version
+from spindle.operators.references import normal_key
+from spindle.plans.block_queries import SQUEEZE, W
 from spindle.plans.graph_queries import chunks
 from spindle.session import table
 from spindle.streaming.events import streamed_metrics, streamed_windows
@@ -17,12 +18,15 @@ TERMS = ("蓟马", "跳甲", "网蝽", "thrips")
 HINTS = ("叶", "病斑", "防治")
 
 
-def samples(spark: SparkSession, d: str) -> DataFrame:
-    return first_version(table(spark, d, "rejected"), "id")
+def samples(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Samples with the columns asked for, so that no more is read and compared than that."""
+    t = table(spark, d, "rejected")
+    return first_version(t.select("id", "ingested_at", *columns) if columns else t, "id")
 
 
-def packs(spark: SparkSession, d: str) -> DataFrame:
-    return first_version(table(spark, d, "evidencepack"), "pack_id")
+def packs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    t = table(spark, d, "evidencepack")
+    return first_version(t.select("pack_id", "ingested_at", *columns) if columns else t, "pack_id")
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
@@ -30,62 +34,54 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eval_evidence(spark, d):
-    return E.evidence_chunks(packs(spark, d), chunks(spark, d), "pack_id")
-
-
-def eval_quotes(spark, d):
-    return E.quotes(chunks(spark, d), TERMS, HINTS)
-
-
-def eval_task_packs(spark, d):
-    return E.task_packs(packs(spark, d))
+    return E.evidence_chunks(packs(spark, d, "evidence"), chunks(spark, d), "pack_id")
 
 
 def eval_selection(spark, d):
-    s = samples(spark, d).select("id", "modality", F.col("quality.judge_score").alias("judge_score"), F.col("quality.evidence_score").alias("evidence_score"))
+    s = samples(spark, d, "modality", "quality").select("id", "modality", F.col("quality.judge_score").alias("judge_score"), F.col("quality.evidence_score").alias("evidence_score"))
     return E.select_accepted(s, 100, 0.2)
 
 
 def eval_judge(spark, d):
-    return E.judge_totals(samples(spark, d))
+    return E.judge_totals(samples(spark, d, "quality"))
 
 
 def eval_validation(spark, d):
-    return E.validation_scores(samples(spark, d), chunks(spark, d))
+    return E.validation_scores(samples(spark, d, "question", "gold_answer", "task_type", "modality", "evidence"), chunks(spark, d))
 
 
 def eval_report(spark, d):
-    return E.dataset_report(samples(spark, d))
+    return E.dataset_report(samples(spark, d, "task_type", "modality", "metadata", "evidence", "quality"))
 
 
 def eval_groups(spark, d):
-    return E.group_report(samples(spark, d), "task_type")
+    return E.group_report(samples(spark, d, "task_type", "quality"), "task_type")
 
 
 def eval_lengths(spark, d):
     """Number, mean and 95 % rank of the length of answers per modality."""
-    s = samples(spark, d).select(F.coalesce(F.trim("modality"), F.lit("")).alias("modality"), F.length("gold_answer").alias("n_chars"))
+    s = samples(spark, d, "modality", "gold_answer").select(F.coalesce(F.trim("modality"), F.lit("")).alias("modality"), F.length("gold_answer").alias("n_chars"))
     return E.nearest_rank(s, "modality", "n_chars")
 
 
 def eval_retrieval(spark, d):
     """Scores of the evidence of each sample against the chunks that its entity's packs cite."""
-    gold = packs(spark, d).select(squeeze(F.col("core_entity")).alias("entity"), F.explode("evidence.chunk_id").alias("c")).filter(F.col("c").isNotNull())
+    gold = packs(spark, d, "core_entity", "evidence").select(squeeze(F.col("core_entity")).alias("entity"), F.explode("evidence.chunk_id").alias("c")).filter(F.col("c").isNotNull())
     gold = gold.groupBy("entity").agg(F.sort_array(F.collect_set("c")).alias("gold"))
-    s = samples(spark, d).select("id", squeeze(F.col("metadata.core_entity")).alias("entity"), F.filter("evidence.chunk_id", lambda c: c.isNotNull()).alias("found"))
+    s = samples(spark, d, "metadata", "evidence").select("id", squeeze(F.col("metadata.core_entity")).alias("entity"), F.filter("evidence.chunk_id", lambda c: c.isNotNull()).alias("found"))
     return E.retrieval_scores(s.join(gold, "entity")).select("id", "hit", "recall", "precision", "f1")
 
 
 def eval_review_sheet(spark, d):
-    return E.review_sheet(samples(spark, d))
+    return E.review_sheet(samples(spark, d, "task_type", "modality", "question", "gold_answer", "evidence", "quality", "metadata"))
 
 
 def eval_flat_evidence(spark, d):
-    return E.flat_evidence(samples(spark, d))
+    return E.flat_evidence(samples(spark, d, "task_type", "quality", "metadata", "evidence").drop("ingested_at"))
 
 
 def eval_sample_ids(spark, d):
-    return E.sample_ids(samples(spark, d).select("id", F.coalesce(F.trim("task_type"), F.lit("none")).alias("task")), "id", "task")
+    return E.sample_ids(samples(spark, d, "task_type").select("id", F.coalesce(F.trim("task_type"), F.lit("none")).alias("task")), "id", "task")
 
 
 def event_totals(spark, d):
@@ -120,21 +116,20 @@ def event_stream_windows(spark, d):
 
 def cache_to_do(spark, d):
     """Images of blocks that no image file stands for yet."""
-    b = table(spark, d, "test4_content_list").filter(F.col("type") == "image").select("img_path").filter(F.col("img_path").isNotNull()).distinct()
-    return S.to_do(b, table(spark, d, "image_files"), ["img_path"])
+    b = table(spark, d, "test4_content_list").filter(F.col("type") == "image").select(normal_key(F.col("img_path")).alias("img_path")).filter(F.col("img_path").isNotNull()).distinct()
+    i = table(spark, d, "image_files").select(normal_key(F.col("img_path")).alias("img_path"), "is_deleted", "ingested_at").filter(F.col("img_path").isNotNull())
+    return S.to_do(b, latest_version(i, "img_path").filter(~F.coalesce("is_deleted", F.lit(False))), ["img_path"])
 
 
 def document_status(spark, d):
     """Per document: its chunks that stand, how many are multimodal, their tokens, and when the last came in."""
-    from spindle.operators.records import latest_version
-
     c = table(spark, d, "chunks").select("chunk_id", "full_doc_id", "tokens", "is_multimodal", "is_deleted", "ingested_at")
     c = latest_version(c, "chunk_id").filter(~F.coalesce("is_deleted", F.lit(False)))
     return c.groupBy("full_doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_if("is_multimodal").alias("n_multimodal"), F.sum("tokens").alias("n_tokens"), F.max("ingested_at").alias("last_at"))
 
 
 QUERIES = {f.__name__: f for f in (
-    eval_evidence, eval_quotes, eval_task_packs, eval_selection, eval_judge, eval_validation, eval_report, eval_groups, eval_lengths, eval_retrieval, eval_review_sheet, eval_flat_evidence,
+    eval_evidence, eval_selection, eval_judge, eval_validation, eval_report, eval_groups, eval_lengths, eval_retrieval, eval_review_sheet, eval_flat_evidence,
     eval_sample_ids, event_totals, event_status, event_progress, event_windows, event_json, event_stream_totals, event_stream_windows, cache_to_do, document_status,
 )}
 
@@ -143,15 +138,13 @@ p as (select distinct pack_id, core_entity, entity_type, evidence, context, moda
 c as (select * from (select chunk_id, arg_max(content, ingested_at) content, arg_max(page_idx, ingested_at) page_idx, arg_max(full_doc_id, ingested_at) full_doc_id, arg_max(tokens, ingested_at) tokens, arg_max(is_multimodal, ingested_at) is_multimodal,
   arg_max(coalesce(is_deleted, false), ingested_at) gone, max(ingested_at) last_at from chunks group by 1) where not gone)
 """
+_NORMAL = lambda c: rf"regexp_replace(replace(lower(regexp_replace({c}, '^{W}+|{W}+$', '', 'g')), chr(92), '/'), '^\./', '')"
 _EV = "select {k}, unnest(range(0, len(evidence))) position, unnest(evidence).chunk_id chunk_id from {t}"
 _CL = "least(greatest(coalesce(quality.judge.{0}, 3), 1), 5)"
 _TOTALS = "select event_type, count(*) n_events, count(*) filter (value is null) n_without_value, round(sum(value), 2) total, min(ts) first_ts, max(ts) last_ts from events group by 1"
 _WINDOWS = "select date_trunc('day', ts)::timestamp window_start, event_type, count(*) n from events group by 1, 2"
 ORACLE_SQL = {
     "eval_evidence": _S + f", e as ({_EV.format(k='pack_id', t='p')}) select pack_id, position, e.chunk_id, page_idx, length(content) n_chars from e join c using (chunk_id) where trim(content) <> ''",
-    "eval_task_packs": _S + """select '病虫害诊断' task, pack_id from p where modality = 'text' and entity_type in ('病害','虫害') and regexp_matches(context, '症状|危害|发生')
-      union all select '防治建议', pack_id from p where modality = 'text' and entity_type in ('病害','虫害') and regexp_matches(context, '防治|清除|轮作|药剂')
-      union all select '症状识别', pack_id from p where modality = 'text' and entity_type in ('病害','虫害') and regexp_matches(context, '症状|病斑|叶片|危害')""",
     "eval_selection": _S + """, o as (select id, coalesce(modality = 'image', false) image, row_number() over (order by coalesce(quality.judge_score, 0) desc, coalesce(quality.evidence_score, 0) desc, id) r from s),
       i as (select *, image and row_number() over (partition by image order by r) <= 20 lead from o), n as (select count(*) filter (lead) n from i),
       f as (select *, row_number() over (partition by lead order by r) q from i) select id, lead or q <= 100 - (select n from n) accepted from f""",
@@ -168,10 +161,13 @@ ORACLE_SQL = {
       x as (select id, list_distinct(gold) g, list_distinct(list_filter(list_transform(evidence, lambda z: z.chunk_id), lambda k: k is not null)) f from s join g on g.e = {SQUEEZE('s.metadata.core_entity')}),
       y as (select id, len(list_intersect(g, f)) b, len(g) ng, len(f) nf from x)
       select id, (b > 0)::int hit, case when ng > 0 then round(b / ng, 4) else 0 end recall, case when nf > 0 then round(b / nf, 4) else 0 end "precision", case when b > 0 then round(2 * (b / ng) * (b / nf) / (b / ng + b / nf), 4) else 0 end f1 from y""",
-    "eval_review_sheet": _S + "select id, task_type, modality, question, gold_answer, case when evidence is not null then array_to_string(list_transform(evidence, lambda z: coalesce(z.chunk_id, '')), '|') end chunk_ids, case when evidence is not null then array_to_string(list_transform(evidence, lambda z: coalesce(z.file_path, '')), '|') end file_paths, case when quality.reasons is not null then array_to_string(quality.reasons, '|') end reasons, quality.judge_score judge_score from s",
-    "eval_flat_evidence": _S + """select id, task_type, quality.status quality_status, metadata.core_entity metadata_core_entity, e.chunk_id evidence_chunk_id, e.file_path evidence_file_path, e.quote evidence_quote
+    "eval_review_sheet": _S + "select id, coalesce(quality.status, '') status, coalesce(task_type, '') task_type, coalesce(modality, '') modality, '' difficulty, coalesce(metadata.core_entity, '') core_entity, '' entity_type, coalesce(question, '') question, coalesce(gold_answer, '') gold_answer, array_to_string(list_transform(coalesce(evidence, []), lambda z: coalesce(z.chunk_id, '')), '|') evidence_chunks, coalesce(quality.judge_score::varchar, '') judge_score, coalesce(array_to_string(quality.reasons, '|'), '') reasons, '' manual_decision, '' manual_notes from s",
+    "eval_flat_evidence": _S + """select id, task_type, quality.status quality_status, quality.reason quality_reason, case when quality.reasons is not null then array_to_string(quality.reasons, '|') end quality_reasons, quality.rule_score quality_rule_score, quality.evidence_score quality_evidence_score, quality.judge_score quality_judge_score,
+      quality.judge.answer_correctness quality_judge_answer_correctness, quality.judge.evidence_consistency quality_judge_evidence_consistency, quality.judge.safety quality_judge_safety, quality.judge.clarity quality_judge_clarity, quality.judge.reason quality_judge_reason,
+      metadata.core_entity metadata_core_entity, metadata.image_match.match metadata_image_match_match, metadata.image_match.confidence metadata_image_match_confidence, case when metadata.image_match.visible_clues is not null then array_to_string(metadata.image_match.visible_clues, '|') end metadata_image_match_visible_clues, metadata.image_match.reason metadata_image_match_reason,
+      e.source_type evidence_source_type, e.chunk_id evidence_chunk_id, e.file_path evidence_file_path, e.quote evidence_quote, case when e.focus_entities is not null then array_to_string(e.focus_entities, '|') end evidence_focus_entities
       from (select *, unnest(case when coalesce(len(evidence), 0) = 0 then [null] else evidence end) e from s)""",
-    "eval_sample_ids": _S + "select id, coalesce(trim(task_type), 'none') || '_' || lpad(cast(row_number() over (partition by coalesce(trim(task_type), 'none') order by id) as varchar), 8, '0') sample_id from s",
+    "eval_sample_ids": _S + "select id, coalesce(trim(task_type), 'none') || '_' || lpad(cast(row_number() over (partition by coalesce(trim(task_type), 'none') order by md5(id), id) as varchar), 8, '0') sample_id from s",
     "event_totals": _TOTALS,
     "event_stream_totals": _TOTALS,
     "event_status": "select user_id, arg_max(event_type, (ts, event_id)) status, arg_max(event_id, (ts, event_id)) event_id from events group by 1",
@@ -179,6 +175,6 @@ ORACLE_SQL = {
     "event_windows": _WINDOWS,
     "event_stream_windows": _WINDOWS,
     "event_json": "select event_id, len(json_keys(props)) n_keys from events where props is not null and json_valid(props)",
-    "cache_to_do": "select distinct img_path from test4_content_list where type = 'image' and img_path is not null and img_path not in (select img_path from image_files where img_path is not null)",
+    "cache_to_do": f"with i as (select {_NORMAL('img_path')} k, arg_max(coalesce(is_deleted, false), ingested_at) gone from image_files where img_path is not null group by 1) select distinct {_NORMAL('img_path')} img_path from test4_content_list where type = 'image' and {_NORMAL('img_path')} <> '' and {_NORMAL('img_path')} not in (select k from i where not gone)",
     "document_status": _S + "select full_doc_id, count(*) n_chunks, count(*) filter (is_multimodal) n_multimodal, sum(tokens)::bigint n_tokens, max(last_at) last_at from c group by 1",
 }

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spindle.functions.text import attribute_field, compare_name, consistent_type, entity_name, entity_type, has_cjk, is_alias, modality_of, relation_of, squeeze, stage_parts, without_suffix
+from spindle.functions.ontology import DEFAULT as O
+from spindle.functions.text import any_of, attribute_field, bigram_cosine, compare_name, consistent_type, entity_name, entity_type, has_cjk, is_alias, modality_of, relation_of, squeeze, stage_parts, without_suffix
 from spindle.operators import graph as G, retrieval as R
 from spindle.operators.records import first_version, latest_version
 from spindle.plans.block_queries import SQUEEZE
-from spindle.session import table
+from spindle.session import table, written
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -97,15 +98,18 @@ def graph_similar_names(spark, d):
     return s.select("kb_id", "entity_type", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+def graph_name_cosines(spark, d):
+    """Bigram cosine of each name with what is left of it without marks, and with its base without a stage of life."""
+    n = nodes(spark, d).select("id").distinct()
+    c = lambda other: F.round(bigram_cosine(F.col("id"), other), 6)
+    return n.select("id", c(compare_name(F.col("id"))).alias("plain"), c(stage_parts(F.col("id"))["base"]).alias("base"))
+
+
 def graph_components(spark, d):
     e = edges(spark, d)
     return G.components(e.select(F.concat_ws("/", "kb_id", "source").alias("a"), F.concat_ws("/", "kb_id", "target").alias("b")).filter(F.col("source").isNotNull() & F.col("target").isNotNull() & F.col("kb_id").isNotNull()))
 
 
-def graph_resolution(spark, d):
-    return G.resolution(_merged(spark, d), 0.8)
-
-
 def _pack_chunks(spark, d):
     return table(spark, d, "evidencepack").select(F.explode("evidence.chunk_id").alias("chunk_id")).filter(F.col("chunk_id").isNotNull()).distinct()
 
@@ -121,7 +125,7 @@ def graph_subgraph_edges(spark, d):
 def _hits(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     q = e.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
-    return R.vector_top_k(q, e, 10, blocks=max(8, -(-q.count() // 256)))
+    return written(R.vector_top_k(q, e, 10, exclude_own=True), "hits")
 
 
 def search_top_k(spark, d):
@@ -171,33 +175,36 @@ def search_citations(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     graph_names, graph_keys, graph_stages, graph_types, graph_merged_nodes, graph_relations, graph_merged_edges, graph_remapped_edges, graph_attributes, graph_clean_edges, graph_summary,
-    graph_degrees, graph_similar_names, graph_components, graph_resolution, graph_subgraph_nodes, graph_subgraph_edges, search_top_k, search_local, search_global, search_hybrid,
+    graph_degrees, graph_similar_names, graph_name_cosines, graph_components, graph_subgraph_nodes, graph_subgraph_edges, search_top_k, search_local, search_global, search_hybrid,
     search_chunks, search_context, search_citations,
 )}
 
-_TYPES = "'病害','虫害','病原菌','作物','生长期','生物分类','药剂','别名','部位','时间','危害症状','形态特征','发病诱因','发生时期','防治要点','生活习性','发生规律','多模态元素','其他'"
-_FIELDS = "'别名','形态特征','危害症状','发病诱因','发生时期','防治要点','生活习性','发生规律'"
-_ANY = lambda words: "regexp_matches(x, '" + "|".join(words) + "')"
+_Q = lambda words: ",".join(f"'{w}'" for w in words)
+_TYPES, _FIELDS = _Q(O.entity_types), _Q(O.attribute_fields)
+_ANY = lambda words, x="x": f"regexp_matches({x}, '" + "|".join(words) + "')"
+_LADDER = lambda rows, x: " ".join(f"when {_ANY(words, x)} then '{name}'" for name, words in rows)
+_LISTED = _Q(sorted({p[0] for p in O.pairs}))
+_PAIRS = _Q("/".join(p) for p in O.pairs)
+_MARKS = any_of(O.name_marks)
+_STAGE = rf"^(.+?)[\s\-_/]*[（(【\[]?({'|'.join(sorted(O.stages, key=len, reverse=True))}|{O.stage_pattern})[）)】\]]?$"
+_PLAIN = lambda c: rf"regexp_replace({c}, '[^\x{{4e00}}-\x{{9fff}}A-Za-z0-9]', '', 'g')"
 _N = rf"""with n as (select distinct node_id, kb_id, id, entity_type, description, source_ids from graphnode where id is not null),
 e as (select distinct edge_id, kb_id, source, target, relation_type, description, source_ids, weight from graphedge),
 nk as (select node_id, i, j, trim(p[j]) k from (select node_id, i, string_split(source_ids[i], '<SEP>') p, unnest(range(1, len(string_split(source_ids[i], '<SEP>')) + 1)) j from (select node_id, source_ids, unnest(range(1, len(source_ids) + 1)) i from n)) where trim(p[j]) <> ''),
 ek as (select edge_id, i, j, trim(p[j]) k from (select edge_id, i, string_split(source_ids[i], '<SEP>') p, unnest(range(1, len(string_split(source_ids[i], '<SEP>')) + 1)) j from (select edge_id, source_ids, unnest(range(1, len(source_ids) + 1)) i from e)) where trim(p[j]) <> ''),
 t0 as (select *, case when lower({SQUEEZE('entity_type')}) in ('image','table','equation','header','page_number') then '多模态元素' when {SQUEEZE('entity_type')} in ({_TYPES}) then {SQUEEZE('entity_type')} else '其他' end allowed,
-  regexp_replace(trim(regexp_replace({SQUEEZE('id')}, '(?i)\s*\((image|table|equation|header|page_number|other)\)\s*$', '')), '^[ \t\r\n,，。;；:：]+|[ \t\r\n,，。;；:：]+$', '', 'g') nm0 from n),
-t1 as (select *, case when nm0 = '' then '未命名实体' else nm0 end nm from t0),
-t2 as (select *, case when not regexp_matches(nm, '[\x{{4e00}}-\x{{9fff}}]') and regexp_matches(nm, '[A-Za-z]{{2,}}') and allowed not in ('其他', '多模态元素', {_FIELDS}) then '其他' else allowed end a2 from t1),
-t as (select *, case when a2 in ('病害','虫害','病原菌','药剂','生长期','时间','多模态元素') then a2
-  when nm in ('心叶','叶片','叶面','叶背','叶缘','叶柄','叶脉','叶肉','嫩叶','老叶','子叶','真叶','根','根部','根系','主根','须根','茎','茎部','茎基部','茎秆','花','花蕾','花序','花器','果实','果荚','种子','嫩梢','生长点','顶芽','侧芽') or nm like '%部位' or (length(nm) <= 4 and regexp_matches(nm, '[叶根茎花芽]$')) then '部位'
-  when a2 in ('作物','生物分类','其他') and (regexp_matches(nm, '(界|门|纲|目|科|属|种|族)$|(科|属|目|纲|门)(植物|蔬菜)$|十字花科|旋花科') or nm = '蔬菜' or (length(nm) >= 3 and regexp_matches(nm, '(蔬菜|植物|作物)$'))) then '生物分类' else a2 end consistent from t2),
+  regexp_replace({SQUEEZE("regexp_replace(" + SQUEEZE('id') + ", '(?i)" + chr(92) + "s*" + chr(92) + "((image|table|equation|header|page_number|other)" + chr(92) + ")" + chr(92) + "s*$', '')")}, '^{_MARKS}+|{_MARKS}+$', '', 'g') nm0 from n),
+t1 as (select *, case when nm0 = '' then '{O.nameless}' else nm0 end nm from t0),
+t2 as (select *, case when not regexp_matches(nm, '[\x{{4e00}}-\x{{9fff}}]') and regexp_matches(nm, '[A-Za-z]{{2,}}') and allowed not in ('{O.other_type}', '{O.multimodal_type}', {_FIELDS}) then '{O.other_type}' else allowed end a2 from t1),
+t as (select *, case when a2 in ({_Q(O.protected_types)}) then a2
+  when nm in ({_Q(O.plant_parts)}) or nm like '%{O.part_ending}' or (length(nm) <= 4 and regexp_matches(nm, '{O.part_letters}')) then '部位'
+  when a2 in ('作物','生物分类','其他') and (nm in ({_Q(O.crop_groups)}) or regexp_matches(nm, '{O.taxonomy_pattern}') or regexp_matches(nm, '{O.composite_pattern}') or {_ANY(O.group_words, 'nm')} or (length(nm) >= 3 and regexp_matches(nm, '{O.group_pattern}'))) then '生物分类' else a2 end consistent from t2),
 m as (select kb_id, nm as name, coalesce(arg_min(consistent, node_id) filter (consistent <> '其他'), '其他') entity_type, coalesce(arg_min({SQUEEZE('description')}, node_id) filter ({SQUEEZE('description')} <> ''), '') description, count(*) n_merged from t group by 1, 2),
 et as (select e.*, coalesce(a.entity_type, '') source_type, coalesce(b.entity_type, '') target_type, lower(coalesce(relation_type, '') || ' ' || coalesce(e.description, '')) x,
   lower(concat_ws(' ', relation_type, e.description)) y from e left join m a on a.kb_id = e.kb_id and a.name = e.source left join m b on b.kb_id = e.kb_id and b.name = e.target),
-en as (select *, case when {_ANY('belongs_to part_of contained_in 属于 隶属 属类 从属 subordinate'.split())} then '属类隶属' when {_ANY('pathogen 致病菌 致病'.split())} then '致病'
-  when {_ANY(['growth stage', '生长期', '发生时期', 'period', 'history', 'record time', '时间', '部位', 'site', 'plant part'])} then '发生于' when {_ANY('control prevention management 防治'.split())} then '防治'
-  when {_ANY('impact affect cause damage 危害 为害'.split())} then '危害' when {_ANY(['life cycle', 'lifecycle', 'stage', 'overwinter', '生命周期'])} then '生命周期'
-  when {_ANY(['地理位置', '地理分布', '分布于', '地区', '省', '市', '县', 'region', 'page '])} then '地理位置' else '' end named from et),
-er as (select *, case when named in ('', '属类隶属') then named when source_type = '' or target_type = '' then named when named not in ('致病','发生于','危害','防治') then named
-  when named || '/' || source_type || '/' || target_type in ('致病/病原菌/病害','致病/虫害/病害','发生于/病害/时间','发生于/虫害/时间','发生于/病害/生长期','发生于/虫害/生长期','发生于/病害/部位','发生于/虫害/部位','危害/病害/作物','危害/虫害/作物','危害/病害/部位','危害/虫害/部位','防治/病害/药剂','防治/虫害/药剂','防治/药剂/病害','防治/药剂/虫害') then named else '' end relation from en),
+en as (select *, case {_LADDER(O.relation_words, 'x')} else '' end named from et),
+er as (select *, case when named in ('', '{O.always_allowed}') then named when source_type = '' or target_type = '' then named when named not in ({_LISTED}) then named
+  when named || '/' || source_type || '/' || target_type in ({_PAIRS}) then named else '' end relation from en),
 pc as (select distinct unnest(evidence).chunk_id k from evidencepack),
 eh as (select distinct e.* from e join ek using (edge_id) join pc using (k)),
 nh as (select distinct kb_id, id as name from n join nk using (node_id) join pc using (k) union select kb_id, source from eh union select kb_id, target from eh),
@@ -206,23 +213,44 @@ hits as (select query_id, vec_id, score, rank from (select query_id, vec_id, sco
   select q.vec_id query_id, v.vec_id, list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])) score from embeddings q, embeddings v where q.vec_id % 20 = 0 and v.vec_id <> q.vec_id) where score >= 0.2) where rank <= 10),
 hn as (select h.*, n.kb_id, n.id as name, n.node_id from hits h join n on n.node_id = h.vec_id),
 gl as (select query_id, kb_id, name, min(rank) rank from (select h.query_id, e.kb_id, e.source as name, rank from hits h join e on e.edge_id = h.vec_id union all select h.query_id, e.kb_id, e.target, rank from hits h join e on e.edge_id = h.vec_id) group by 1, 2, 3),
-cw as (select query_id, k chunk_id, n, rank from (select query_id, k, count(*) n, min(rank) best, row_number() over (partition by query_id order by count(*) desc, min(rank), k) rank from (select distinct query_id, rank, vec_id, k from hn join nk using (node_id)) group by 1, 2) where rank <= 20)
+cw as (select query_id, k chunk_id, n, rank from (select query_id, k, count(*) n, min(rank) best, row_number() over (partition by query_id order by count(*) desc, min(rank), k) rank from (select distinct query_id, rank, vec_id, k from hn join nk using (node_id)) group by 1, 2))
 """
+# matching blocks: the longest common block of two names, the earliest in the first, then in the second, and again on both sides of it
+_ALIKE = lambda least, where="true": rf"""
+, nm as (select distinct kb_id, entity_type, name, {_PLAIN('name')} k from m where {where}),
+g2 as (select name, g, count(*) c from (select name, unnest(case when length(k) > 1 then list_transform(range(1, length(k)), lambda i: k[i:i + 1]) else [k] end) g from (select distinct name, k from nm where k <> '')) group by 1, 2),
+no as (select name, sqrt(sum(c * c)) s from g2 group by 1),
+pr as (select row_number() over () id, x.kb_id, x.entity_type, x.name a, y.name b, x.k ka, y.k kb from nm x join nm y on y.kb_id = x.kb_id and y.entity_type = x.entity_type and x.name < y.name where x.k <> '' and y.k <> ''),
+ab as (select row_number() over () id, ka, kb from (select distinct ka, kb from pr where len(list_intersect(list_distinct(string_split(ka, '')), list_distinct(string_split(kb, '')))) > 0)),
+ij as (select id, ka, kb, i, unnest(range(0, length(kb))) j from (select id, ka, kb, unnest(range(0, length(ka))) i from ab)),
+tri as (select id, i, j, k from (select id, ka, kb, i, j, unnest(range(1, least(length(ka) - i, length(kb) - j) + 1)) k from ij where ka[i + 1] = kb[j + 1]) where ka[i + 1:i + k] = kb[j + 1:j + k]),
+bl as (with recursive seg(id, alo, ahi, blo, bhi, got) as (select id, 0::bigint, length(ka)::bigint, 0::bigint, length(kb)::bigint, 0::bigint from ab
+  union all select id, u.alo, u.ahi, u.blo, u.bhi, u.got from (select id, unnest([{{'alo': alo, 'ahi': -b.i, 'blo': blo, 'bhi': -b.j, 'got': b.k}}, {{'alo': -b.i + b.k, 'ahi': ahi, 'blo': -b.j + b.k, 'bhi': bhi, 'got': 0}}]) u
+    from (select s.id, alo, ahi, blo, bhi, max({{'k': t.k, 'i': -t.i, 'j': -t.j}}) b from seg s join tri t on t.id = s.id and t.i >= alo and t.i + t.k <= ahi and t.j >= blo and t.j + t.k <= bhi group by all)))
+  select id, sum(got) got from seg group by 1),
+co as (select x.name a, y.name b, sum(x.c * y.c) d from g2 x join g2 y using (g) where x.name < y.name group by 1, 2),
+si as (select pr.kb_id, pr.entity_type, pr.a, pr.b, case when pr.ka = pr.kb then 1.0 else greatest(2.0 * coalesce(bl.got, 0) / (length(pr.ka) + length(pr.kb)), coalesce(co.d, 0) / (p.s * q.s)) end similarity
+  from pr left join ab on ab.ka = pr.ka and ab.kb = pr.kb left join bl on bl.id = ab.id left join co on co.a = pr.a and co.b = pr.b join no p on p.name = pr.a join no q on q.name = pr.b),
+sim as (select * from si where similarity >= {least})
+"""
 ORACLE_SQL = {
+    "graph_similar_names": _N + _ALIKE(0.8) + "select kb_id, entity_type, a, b, round(similarity, 6) similarity from sim",
+    "graph_name_cosines": _N + rf""", i0 as (select distinct id, {SQUEEZE('id')} s from n), i1 as (select id, {_PLAIN('id')} p, case when regexp_extract(s, '{_STAGE}', 2) <> '' and regexp_replace(regexp_extract(s, '{_STAGE}', 1), '^{_MARKS}+|{_MARKS}+$', '', 'g') <> '' then regexp_replace(regexp_extract(s, '{_STAGE}', 1), '^{_MARKS}+|{_MARKS}+$', '', 'g') else s end b from i0),
+      w as (select id, unnest(['id', 'plain', 'base']) which, unnest([id, p, b]) t from i1), g as (select id, which, g, count(*) c from (select id, which, unnest(case when length(t) > 1 then list_transform(range(1, length(t)), lambda i: t[i:i + 1]) when length(t) = 1 then [t] else [] end) g from w) group by 1, 2, 3),
+      no as (select id, which, sqrt(sum(c * c)) n from g group by 1, 2), d as (select x.id, y.which, sum(x.c * y.c) d from g x join g y on y.id = x.id and y.g = x.g where x.which = 'id' group by 1, 2)
+      select i1.id, round(coalesce(max(d.d / (a.n * z.n)) filter (d.which = 'plain'), 0), 6) plain, round(coalesce(max(d.d / (a.n * z.n)) filter (d.which = 'base'), 0), 6) base from i1 left join no a on a.id = i1.id and a.which = 'id' left join d on d.id = i1.id and d.which <> 'id' left join no z on z.id = i1.id and z.which = d.which group by 1""",
     "graph_names": _N + rf"""select node_id, {SQUEEZE("' ' || id || '　(image) '")} squeezed, regexp_replace({SQUEEZE("' ' || id || '　(image) '")}, '(?i)\s*\((image|table|equation|header|page_number|other)\)\s*$', '') plain,
       regexp_replace(id, '[^\x{{4e00}}-\x{{9fff}}A-Za-z0-9]', '', 'g') compare, regexp_matches(id, '[\x{{4e00}}-\x{{9fff}}]') cjk, case when lower({SQUEEZE('entity_type')}) in ('image','table','equation','header','page_number') then lower({SQUEEZE('entity_type')}) else 'image' end modality from n""",
     "graph_keys": _N + "select distinct node_id, k chunk_id from nk",
-    "graph_stages": _N + rf""", v as (select node_id, unnest([id || '成虫', id || '（低龄幼虫）', id || ' 3龄幼虫', id]) as name from n),
-      x as (select node_id, name, {SQUEEZE('name')} s from v), y as (select *, regexp_extract(s, '^(.+?)[\s\-_/]*[（(【\[]?(低龄幼虫|高龄幼虫|老熟幼虫|越冬成虫|越冬幼虫|越冬卵|越冬蛹|成虫|幼虫|若虫|虫卵|卵|蛹|[一二三四五六七八九十0-9]+龄幼虫)[）)】\]]?$', 1) b,
-      regexp_extract(s, '^(.+?)[\s\-_/]*[（(【\[]?(低龄幼虫|高龄幼虫|老熟幼虫|越冬成虫|越冬幼虫|越冬卵|越冬蛹|成虫|幼虫|若虫|虫卵|卵|蛹|[一二三四五六七八九十0-9]+龄幼虫)[）)】\]]?$', 2) g from x)
-      select node_id, name, case when g <> '' then regexp_replace(b, '^[ \t,，。;；:：()（）\[\]【】<>《》\-_/|]+|[ \t,，。;；:：()（）\[\]【】<>《》\-_/|]+$', '', 'g') else s end base, g stage from y""",
+    "graph_stages": _N + rf""", v as (select node_id, unnest([id || '成虫', id || '（低龄幼虫）', id || ' 3龄幼虫', id]) as name from n), x as (select node_id, name, {SQUEEZE('name')} s from v),
+      y as (select *, regexp_replace(regexp_extract(s, '{_STAGE}', 1), '^{_MARKS}+|{_MARKS}+$', '', 'g') b, regexp_extract(s, '{_STAGE}', 2) g from x) select node_id, name, case when g <> '' and b <> '' then b else s end base, case when b <> '' then g else '' end stage from y""",
     "graph_types": _N + "select node_id, allowed, consistent from t",
     "graph_merged_nodes": _N + ", o as (select t.kb_id, t.nm as name, nk.k, min(t.node_id * 1000000 + nk.i * 1000 + nk.j) o from t join nk using (node_id) group by 1, 2, 3), ks as (select kb_id, name, string_agg(k, ',' order by o) keys from o group by 1, 2) select m.kb_id, m.name, entity_type, description, coalesce(keys, '') keys, n_merged from m left join ks on ks.kb_id is not distinct from m.kb_id and ks.name = m.name",
-    "graph_relations": _N + f"select edge_id, source_type, target_type, relation, named, regexp_matches(y, 'alias|same as|sameas|aka|别名|又称|简称|俗称') alias, case when regexp_matches(z, '形态|morphology') then '形态特征' when regexp_matches(z, '症状|symptom|damage|危害') then '危害症状' when regexp_matches(z, '诱因|cause|trigger') then '发病诱因' when regexp_matches(z, '时期|生长期|时间|life cycle|lifecycle') then '发生时期' when regexp_matches(z, '防治|药剂|control|prevention|treatment') then '防治要点' when regexp_matches(z, '习性|habit') then '生活习性' when regexp_matches(z, '规律|occurrence') then '发生规律' else '' end field from (select *, lower(coalesce(relation_type, '') || '  ' || coalesce(description, '')) z from er)",
+    "graph_relations": _N + f"select edge_id, source_type, target_type, relation, named, {_ANY(O.alias_words, 'y')} alias, case {_LADDER(O.attribute_words, 'z')} else '' end field from (select *, lower(coalesce(relation_type, '') || '  ' || coalesce(description, '')) z from er)",
     "graph_merged_edges": _N + f", k as (select * from er where relation <> ''), o as (select kb_id, source, target, relation, ek.k, min(edge_id * 1000000 + i * 1000 + j) o from k join ek using (edge_id) group by 1, 2, 3, 4, 5), ks as (select kb_id, source, target, relation, string_agg(k, ',' order by o) keys from o group by 1, 2, 3, 4), g as (select kb_id, source, target, relation, max(weight) weight, coalesce(arg_min({SQUEEZE('description')}, edge_id) filter ({SQUEEZE('description')} <> ''), 'N/A') description, count(*) n_merged from k group by 1, 2, 3, 4) select g.*, coalesce(keys, '') keys from g left join ks on ks.kb_id is not distinct from g.kb_id and ks.source is not distinct from g.source and ks.target is not distinct from g.target and ks.relation = g.relation",
     "graph_remapped_edges": _N + r", q as (select distinct kb_id, id as name, lower(regexp_replace(id, '[^\x{4e00}-\x{9fff}A-Za-z0-9]', '', 'g')) k from n), c as (select kb_id, k, min(name) canonical from q group by 1, 2), nm as (select q.kb_id, q.name, canonical from q join c on c.kb_id = q.kb_id and c.k = q.k), r as (select e.kb_id, coalesce(a.canonical, e.source) source, coalesce(b.canonical, e.target) target from e left join nm a on a.kb_id = e.kb_id and a.name = e.source left join nm b on b.kb_id = e.kb_id and b.name = e.target) select kb_id, source, target, count(*) n from r where source <> target group by 1, 2, 3",
-    "graph_attributes": _N + f", b as (select kb_id, source a, target h, description d from e union all select kb_id, target, source, description from e) select distinct b.kb_id, b.h host, x.entity_type field, case when x.description <> '' and length(x.description) >= length(x.name) then x.description when {SQUEEZE('b.d')} <> '' and length({SQUEEZE('b.d')}) >= length(x.name) then {SQUEEZE('b.d')} else x.name end as value from b join m x on x.kb_id = b.kb_id and x.name = b.a and x.entity_type in ({_FIELDS}) join m y on y.kb_id = b.kb_id and y.name = b.h and y.entity_type in ('虫害', '病害', '病原菌')",
-    "graph_clean_edges": _N + ", k as (select kb_id, name from m where entity_type in ('虫害','病害','作物','病原菌','药剂','生长期','生物分类','时间','部位','多模态元素')) select edge_id, er.kb_id, source, target, relation from er where relation <> '' and exists (select 1 from k where k.kb_id = er.kb_id and k.name = er.source) and exists (select 1 from k where k.kb_id = er.kb_id and k.name = er.target)",
+    "graph_attributes": _N + f", b as (select kb_id, source a, target h, description d from e union all select kb_id, target, source, description from e) select distinct b.kb_id, b.h host, x.entity_type field, case when x.description <> '' and length(x.description) >= length(x.name) then x.description when {SQUEEZE('b.d')} <> '' and length({SQUEEZE('b.d')}) >= length(x.name) then {SQUEEZE('b.d')} else x.name end as value from b join m x on x.kb_id = b.kb_id and x.name = b.a and x.entity_type in ({_FIELDS}) join m y on y.kb_id = b.kb_id and y.name = b.h and y.entity_type in ({_Q(O.attribute_hosts)})",
+    "graph_clean_edges": _N + f", k as (select kb_id, name from m where entity_type in ({_Q((*O.core_types, *O.anchor_types, O.multimodal_type))})) select edge_id, er.kb_id, source, target, relation from er where relation <> '' and exists (select 1 from k where k.kb_id = er.kb_id and k.name = er.source) and exists (select 1 from k where k.kb_id = er.kb_id and k.name = er.target)",
     "graph_summary": _N + r"select kb_id, 'entity_type' part, entity_type as name, count(*) n from m group by 1, 3 union all select kb_id, 'relation', relation, count(*) from er group by 1, 3 union all select kb_id, 'script', case when regexp_matches(name, '[\x{4e00}-\x{9fff}]') then 'cjk' else 'other' end, count(*) from m group by 1, 3",
     "graph_degrees": _N + ", i as (select kb_id, source as name, target other, edge_id from e union all select kb_id, target, source, edge_id from e where source <> target) select kb_id, name, count(*) degree, count(distinct other) n_neighbours from i group by 1, 2",
     "graph_components": """with recursive e as (select distinct kb_id || '/' || source a, kb_id || '/' || target b from graphedge where source is not null and target is not null and kb_id is not null and source <> target),
@@ -231,7 +259,7 @@ ORACLE_SQL = {
     "graph_subgraph_nodes": _N + "select kb_id, node_id from (select n.kb_id, n.node_id, row_number() over (partition by n.kb_id order by n.node_id) r from n join nh on nh.kb_id = n.kb_id and nh.name = n.id) where r <= 180",
     "graph_subgraph_edges": _N + "select kb_id, edge_id from (select kb_id, edge_id, row_number() over (partition by kb_id order by edge_id) r from eh) where r <= 360",
     "search_top_k": _N + "select query_id, vec_id, round(score, 5) score, rank from hits",
-    "search_local": _N + ", x as (select h.query_id, e.edge_id, min(rank) hit, max(e.weight) w from hn h join e on e.kb_id = h.kb_id and (e.source = h.name or e.target = h.name) group by 1, 2) select query_id, edge_id, r rank from (select *, row_number() over (partition by query_id order by hit, w desc nulls last, edge_id) r from x) where r <= 20",
+    "search_local": _N + ", x as (select h.query_id, e.edge_id, min(rank) hit, max(e.weight) w from hn h join e on e.kb_id = h.kb_id and (e.source = h.name or e.target = h.name) group by 1, 2) select query_id, edge_id, r rank from (select *, row_number() over (partition by query_id order by hit, w desc nulls last, edge_id) r from x)",
     "search_global": _N + "select query_id, kb_id, name, rank from gl",
     "search_hybrid": _N + ", u as (select query_id, kb_id || '/' || name item, min(rank) rank, 0 s from hn group by 1, 2 union all select query_id, kb_id || '/' || name, rank, 1 from gl), f as (select query_id, item, min(rank * 2 + s) o from u group by 1, 2) select query_id, item, row_number() over (partition by query_id order by o, item) position from f",
     "search_chunks": _N + "select query_id, chunk_id, n, rank from cw",

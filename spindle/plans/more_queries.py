@@ -34,7 +34,7 @@ def file_labels(spark, d):
 
 def eval_demotion(spark, d):
     """Text samples that go first where room is needed: per task those of lowest judge score, later ids first."""
-    s = samples(spark, d).filter(F.col("modality") == "text").select("id", F.trim("task_type").alias("task"), F.coalesce(F.col("quality.judge_score"), F.lit(0)).alias("judge"))
+    s = samples(spark, d, "modality", "task_type", "quality").filter(F.col("modality") == "text").select("id", F.trim("task_type").alias("task"), F.coalesce(F.col("quality.judge_score"), F.lit(0)).alias("judge"))
     counted = s.groupBy("task", "judge").agg(F.count(F.lit(1)).alias("n"))
     below = F.coalesce(F.sum("n").over(Window.partitionBy("task").orderBy("judge").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # only the score at the border is ranked
@@ -46,8 +46,8 @@ def eval_demotion(spark, d):
 
 def eval_coverage(spark, d):
     """Entities of packs that no sample is about."""
-    p = packs(spark, d).select(squeeze(F.col("core_entity")).alias("entity")).filter(F.col("entity") != "").distinct()
-    return p.join(samples(spark, d).select(squeeze(F.col("metadata.core_entity")).alias("entity")), "entity", "left_anti")
+    p = packs(spark, d, "core_entity").select(squeeze(F.col("core_entity")).alias("entity")).filter(F.col("entity") != "").distinct()
+    return p.join(samples(spark, d, "metadata").select(squeeze(F.col("metadata.core_entity")).alias("entity")), "entity", "left_anti")
 
 
 def graph_view(spark, d):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,10 +38,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where it is unset (local tests)."""
+    """The folder named by spark.checkpoint.dir. Where it is unset a local session, as in tests, gets one of its own; a cluster is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="spindle-"))
     return _own[0]
@@ -63,3 +68,20 @@ def clean(spark: SparkSession) -> int:
         at = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     return n
+
+
+def ship(spark: SparkSession) -> str:
+    """Sends this package to the executors, once a session, for clusters on which it isn't installed; the path of what was sent."""
+    sc = spark.sparkContext
+    sent = getattr(sc, "_spindle", None)
+    if sent is None:
+        raw, root = io.BytesIO(), Path(__file__).resolve().parent
+        with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, f"{root.name}/{p.relative_to(root)}")
+        # the driver's own file server hands the file out
+        folder = tempfile.mkdtemp(prefix="spindle-package-")
+        sent = sc._spindle = os.path.join(folder, "spindle.zip")
+        Path(sent).write_bytes(raw.getvalue())
+        sc.addPyFile(sent)
+    return sent

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spindle.operators import blocks as B, evaluation as E, graph as G, retrieval as R, state as S
+from spindle.operators import blocks as B, documents as D, evaluation as E, graph as G, retrieval as R, state as S
 from spindle.operators.records import first_version, latest_version, upsert
 from spindle.operators.references import ParentSource, ReferenceSource, orphan_references, orphan_report
 
@@ -85,7 +85,8 @@ def test_blocks(spark):
     assert pages[0] == "# Title\n 12 " and pages[1] == "[Page 0] # Title\n[Page 0]  12 \n[Page 2] End."
     near = {r["block_idx"]: r["context"] for r in B.chunk_context(b, 1).collect()}
     assert near[1] == "# Title" and near[0] == " 12 "
-    assert B.multimodal_chunks(b).count() == 2 and B.document_ids(b).first()["doc_id"].startswith("doc-") and B.signatures(b).first()["n_items"] == 3
+    # every type but text has a template
+    assert B.multimodal_chunks(b).count() == 3 and B.document_ids(b).first()["doc_id"].startswith("doc-") and D.signatures(D.item_hashes(b)).first()["n_items"] == 3
     assert B.separate(b.limit(0)).count() == 0
 
 
@@ -109,14 +110,21 @@ def test_components_against_union_find(spark):
 
 
 def test_similar_names_against_all_pairs(spark):
+    from collections import Counter
+
     from spindle.functions.udfs import ratio
 
+    def cosine(a, b):
+        x, y = (Counter(t[i : i + 2] for i in range(max(1, len(t) - 1))) for t in (a, b))
+        return sum(x[g] * y[g] for g in x) / (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
+
     rng = np.random.default_rng(3)
-    names = sorted({"".join(rng.choice(list("甲乙丙丁"), rng.integers(1, 9))) for _ in range(90)})
+    names = sorted({"".join(rng.choice(list("甲乙丙丁"), rng.integers(1, 9))) for _ in range(90)} | {"aaaa", "aa", "甲乙甲乙甲乙", "甲乙", "x"})
     df = spark.createDataFrame([("k", "虫害", n) for n in names], "kb_id string, entity_type string, name string")
-    got = {(r["a"], r["b"]) for r in G.similar_names(df, 0.8).collect()}
-    want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if ratio(a, b) >= 0.8}
-    assert want <= got
+    got = {(r["a"], r["b"]): round(r["similarity"], 6) for r in G.similar_names(df, 0.8).collect()}
+    want = {(a, b): round(max(ratio(a, b), cosine(a, b)), 6) for i, a in enumerate(names) for b in names[i + 1 :]}
+    assert got == {k: v for k, v in want.items() if v >= 0.8} and ("aa", "aaaa") in got and ("甲乙", "甲乙甲乙甲乙") in got
+    assert G.similar_names(df.limit(0), 0.8).count() == 0
 
 
 def test_merges(spark):
@@ -134,13 +142,36 @@ def test_vector_search_against_brute_force(spark):
     v[7] = 0
     df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<float>")
     q = df.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in R.vector_top_k(q, df, 5, -1.0, 4).collect()}
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in R.vector_top_k(q, df, 5, -1.0, exclude_own=True).collect()}
     u = v.astype(np.float32).astype(float) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
     for i in range(0, 120, 20):
         s = [(-float(u[i] @ u[j]), j) for j in range(120) if j not in (i, 7)]
         assert [got[i, k] for k in range(1, 6)] == [j for _, j in sorted(s)[:5]]
 
 
+def test_vector_search_of_other_rows(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (3, [1.0, 0.1]), (4, None), (5, [0.0, 0.0]), (6, [1.0])], "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(3, [1.0, 0.0]), (9, None), (8, [0.0, 0.0])], "query_id long, embedding array<float>")
+    assert [(r["query_id"], r["vec_id"], r["rank"]) for r in R.vector_top_k(q, df, 5).orderBy("rank").collect()] == [(3, 0, 1), (3, 3, 2)]
+    assert R.vector_top_k(q.limit(0), df, 5).count() == 0 and R.vector_top_k(q, df.limit(0), 5).count() == 0
+    many = spark.range(200).selectExpr("id query_id", "array(cast(cos(id) as float), cast(sin(id) as float)) embedding")
+    one = {tuple(r) for r in R.vector_top_k(many, df, 2, -1.0).collect()}
+    sent, R.SENT = R.SENT, 1000
+    try:
+        assert {tuple(r) for r in R.vector_top_k(many, df, 2, -1.0).collect()} == one and len(one) == 400
+    finally:
+        R.SENT = sent
+
+
+def test_contexts_of_many_pages(spark):
+    # ranges of the order meet where a window crosses them
+    b = spark.range(2500).selectExpr("'f' file_path", "cast(id as int) block_idx", "id block_id", "cast(id as int) page_idx", "'text' type", "concat('t', id) text", "0 text_level", "cast(null as array<string>) image_caption", "cast(null as array<string>) table_caption")
+    pages = {r["page_idx"]: r["context"] for r in B.page_context(b).collect()}
+    assert len(pages) == 2500 and pages[999] == "[Page 998] t998\nt999\n[Page 1000] t1000" and pages[1000] == "[Page 999] t999\nt1000\n[Page 1001] t1001"
+    near = {r["block_idx"]: r["context"] for r in B.chunk_context(b.withColumn("block_idx", F.col("block_idx") * 7), 2).collect()}
+    assert len(near) == 2500 and near[7 * 1000] == "t998\nt999\nt1001\nt1002" and near[0] == "t1\nt2"
+
+
 def test_lists_budget_and_scores(spark):
     a = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "query_id int, item string, rank int")
     b = spark.createDataFrame([(1, "y", 1), (1, "z", 2)], a.schema)
