@@ -26,7 +26,7 @@ from spindle.session import written
 K1, B = 1.2, 0.75
 #: Tokens and items of a shard, in the mean.
 SHARD_TOKENS, SHARD_ITEMS = 2_000_000, 16_384
-#: Items on which centroids are fitted, the first by a hash; hashed dimensions of a vector; the most centroids; rounds of fitting.
+#: Items on which centroids are fitted, chosen by a hash; hashed dimensions of a vector; the most centroids; rounds of fitting.
 FIT_ITEMS, DIMENSIONS, MOST_CENTROIDS, ROUNDS = 20_000, 512, 256, 10
 #: Terms in more than this part of a shard's items are scored together as a matrix, for so many seeds at once.
 FREQUENT, SEEDS = 0.05, 64
@@ -123,7 +123,8 @@ def in_cells(items: DataFrame, df: np.ndarray, rows: int, mean: float, shards: i
             x = vectors(batch.column(0).to_numpy(), offsets, terms, _lists(batch.column(2))[1], shared.value, mean)
             yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary())], ["v"])
 
-    sample = items.filter(F.col("n_tokens") > 0).orderBy(F.xxhash64("key", "n_tokens", "terms")).limit(FIT_ITEMS).select("n_tokens", "terms", "counts")
+    # so many in the mean, by a hash: nothing is sorted or moved for that
+    sample = items.filter((F.col("n_tokens") > 0) & (F.pmod(F.xxhash64("key", "n_tokens"), F.lit(max(1, rows))) < FIT_ITEMS)).select("n_tokens", "terms", "counts")
     raw = sample.mapInArrow(project, "v binary").toPandas()["v"]
     x = np.frombuffer(b"".join(raw), np.float32).reshape(-1, DIMENSIONS)
     c = items.sparkSession.sparkContext.broadcast(centroids(x, min(shards, MOST_CENTROIDS)))
@@ -204,8 +205,8 @@ class Index:
             score[self.docs[self.start[x] : self.end[x]]] += self.weight[self.start[x] : self.end[x]]
         return score
 
-    def neighbours(self, item: int, open_: np.ndarray, most: int, sizes: np.ndarray) -> Iterator[int]:
-        """Open items of at most that size which share a term with item, best first."""
+    def neighbours(self, item: int, open_: np.ndarray, most: int, sizes: np.ndarray) -> Iterator[np.ndarray]:
+        """Open items of at most that size which share a term with item, best first, in parts of growing length."""
         score = self.scores(item)
         d = np.flatnonzero(open_ & (sizes <= most) & (score > 0))
         s, step = score[d], 64
@@ -213,7 +214,7 @@ class Index:
             best = np.argpartition(-s, step)[:step] if len(d) > step else np.arange(len(d))
             cut = s[best].min()
             best = np.flatnonzero(s >= cut)  # all of equal score, so that ties go to the earlier
-            yield from d[best[np.argsort(-s[best], kind="stable")]].tolist()
+            yield d[best[np.argsort(-s[best], kind="stable")]]
             d, s, step = d[s < cut], s[s < cut], step * 8
 
 
@@ -264,13 +265,17 @@ def pack(lengths: np.ndarray, index: Index, capacity: int) -> tuple[list[int], l
                 while seeds[at] != seed:
                     at += 1
                 index.prepare([seed, *[i for i in seeds[at + 1 : at + 2 * SEEDS] if open_[i]][: SEEDS - 1]])
-            for i in index.neighbours(seed, open_, room, rest):
-                if rest[i] <= room:
+            for some in index.neighbours(seed, open_, room, rest):
+                size_of, at_ = rest[some], 0
+                while room and len(fits := np.flatnonzero(size_of[at_:] <= room)):
+                    at_ += int(fits[0])
+                    i = int(some[at_])
                     chosen.append(i)
                     open_[i] = False
                     room -= int(rest[i])
-                    if not room:
-                        break
+                    at_ += 1
+                if not room:
+                    break
             while room and (i := longest(room)) >= 0:
                 chosen.append(i)
                 open_[i] = False
@@ -283,11 +288,12 @@ def pack(lengths: np.ndarray, index: Index, capacity: int) -> tuple[list[int], l
     return items, piece, start, size, box
 
 
-def in_shards(items: DataFrame, name: str) -> tuple[DataFrame, np.ndarray, int, float]:
+def in_shards(items: DataFrame) -> tuple[DataFrame, np.ndarray, int, float]:
     """items (key, n_tokens, terms, counts) with shard, and the frequencies, number and mean length of all items."""
     df, rows, mean = document_frequencies(items)
     shards = max(1, -(-int(rows * mean) // SHARD_TOKENS), -(-rows // SHARD_ITEMS))
-    celled = written(in_cells(items, df, rows, mean, shards), f"{name}-cells") if shards > 1 else items.withColumn("cell", F.lit(0))
+    # the cell is made twice, for the plan and for the shards: that takes less than to write all items once more
+    celled = in_cells(items, df, rows, mean, shards) if shards > 1 else items.withColumn("cell", F.lit(0))
     # at most MOST_CENTROIDS squared rows
     cells = celled.groupBy("cell").agg(F.sum("n_tokens"), F.count(F.lit(1))).collect()
     plan = items.sparkSession.createDataFrame(shard_plan([tuple(r) for r in cells]) or [(0, 0, 1)], "cell int, first int, parts int")
@@ -307,7 +313,7 @@ def pack_documents(df: DataFrame, key: str, text: str, capacities: dict[int, int
         raise ValueError("a capacity must be at least one token")
     items = written(sized(df, key, text, tokenizer), f"{name}-sized")
     kind = items.schema["key"].dataType.simpleString()
-    sharded, frequencies, rows, mean = in_shards(items, name)
+    sharded, frequencies, rows, mean = in_shards(items)
     shared = df.sparkSession.sparkContext.broadcast(frequencies)
 
     def run(table: pa.Table) -> pa.Table:
@@ -342,7 +348,7 @@ def recall(df: DataFrame, key: str, text: str, tokenizer: ByteBPE, k: int = 10,
     is held against all items, of which every part gives its k best.
     """
     items = written(sized(df, key, text, tokenizer), f"{name}-sized")
-    sharded, frequencies, rows, mean = in_shards(items, name)
+    sharded, frequencies, rows, mean = in_shards(items)
     sharded = written(sharded.filter(F.col("n_tokens") > 0).select(F.xxhash64("key", "n_tokens", "terms").alias("item"), "shard", "n_tokens", "terms", "counts"), f"{name}-items")
     chosen = sharded.orderBy(F.xxhash64("item"), "item").limit(seeds).toPandas()
     idf = np.log1p((rows - frequencies + 0.5) / (frequencies + 0.5))
