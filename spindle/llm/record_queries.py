@@ -71,5 +71,7 @@ q as (
 """
 ORACLE_SQL = {
     "p2_found": _QUOTAS + "select target_id from q where observed < quota",
+    "p2_sample": _QUOTAS + """, r as (select q.source_table, q.target_id, k record_key, quota, (('0x' || md5(k || '|' || q.target_id || '|17')[1:13])::bigint)::double / 4503599627370496.0 u from q join sample_targets t using (target_id) join recs r on r.source_table = q.source_table and r.a = coalesce(t.task_type, t.core_entity) and r.b = coalesce(t.modality, ''))
+      select source_table, target_id, record_key from (select *, row_number() over (partition by target_id order by u, record_key) n from r) where n <= quota""",
     "p2_report": _QUOTAS + "select source_table, target_id, n_records, observed, quota, least(observed, quota) sampled, quota - least(observed, quota) deficit from q",
 }

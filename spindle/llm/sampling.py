@@ -1,11 +1,12 @@
 """A sample whose shares match given targets, with a minimum per category and a report of deficits.
 
-Each record gets a fixed pseudo-random number u in [0, 1) from its key. A category accepts its
-records independently with the probability p = (quota + margin) / observed; the margin makes
-too few acceptances rare. Counts are then corrected exactly: the quota-th smallest u of each
-category is found from a histogram over u/p, and only the records of the one bucket that holds
-it are ranked. No category is ever gathered in one task, and no shortfall goes unmended: where
-acceptance was too rare the bucket falls among the records not accepted and those are ranked.
+Each record gets a fixed pseudo-random number u in [0, 1) from its key and target. A category accepts
+its records independently with the probability p = (quota + margin) / observed, where the margin
+makes too few acceptances rare; all others are dropped where they are read, before anything is
+shuffled. The accepted are then corrected exactly: the quota-th smallest u of each category is found
+from a histogram over u/p, and only the records of the one bucket that holds it are ranked. Where
+too few were accepted (which is counted) the missing ones are taken in the same order from those that
+weren't. No category is ever gathered in one task.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from spindle.session import written
 
 BUCKETS = 4096
+#: What is accepted beyond the quota, in the mean: so many times its root, and so many.
+MARGIN = (6, 16)
 WHITE = r"(?U)^\s+|\s+$"
 
 
@@ -55,6 +58,28 @@ def distinct_records(source: Source) -> DataFrame:
     )
 
 
+def uniform(seed: int) -> Column:
+    """A number in [0, 1) that follows from key, target and seed: 52 bits of a hash that other engines have too."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", "record_key", F.col("target_id").cast("string"), F.lit(str(seed)))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def _smallest(drawn: DataFrame, at: Column) -> DataFrame:
+    """source_table, target_id, record_key of the quota rows of each target with the smallest u; at spreads u over [0, 1)."""
+    drawn = drawn.withColumn("bucket", F.greatest(F.lit(0), F.least(F.floor(at * BUCKETS), F.lit(BUCKETS))).cast("int"))
+    before = Window.partitionBy("target_id").orderBy("bucket")
+    cut = (
+        drawn.groupBy("target_id", "quota", "bucket").agg(F.count(F.lit(1)).alias("here"))
+        .withColumn("upto", F.sum("here").over(before))
+        .filter(F.col("upto") - F.col("here") < F.col("quota"))
+        .select("target_id", "bucket", F.when(F.col("upto") > F.col("quota"), F.col("quota") - F.col("upto") + F.col("here")).alias("part"))
+    )
+    kept = drawn.join(cut, ["target_id", "bucket"])
+    rank = F.row_number().over(Window.partitionBy("target_id").orderBy("u", "record_key"))
+    last = kept.filter(F.col("part").isNotNull()).withColumn("rank", rank).filter(F.col("rank") <= F.col("part"))
+    cols = ["source_table", "target_id", "record_key"]
+    return kept.filter(F.col("part").isNull()).select(cols).unionByName(last.select(cols))
+
+
 def sample_by_targets(sources: list[Source], targets: DataFrame, seed: int = 17, name: str = "sample") -> TargetSample:
     """Samples every source by the rows of targets that name it.
 
@@ -90,28 +115,21 @@ def sample_by_targets(sources: list[Source], targets: DataFrame, seed: int = 17,
             F.coalesce("n", F.lit(0)).alias("n_records"), F.coalesce("observed", F.lit(0)).alias("observed"),
             F.greatest(F.col("min_rows").cast("long"), F.floor(F.col("target_permille").cast("long") * rows / 1000)).alias("quota"),
         )
-        .withColumn("p", F.least(F.lit(1.0), (F.col("quota") + 6 * F.sqrt("quota") + 16) / F.greatest("observed", F.lit(1))))
+        .withColumn("p", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("quota") + MARGIN[0] * F.sqrt("quota") + MARGIN[1]) / F.greatest("observed", F.lit(1))))
     )
     quotas = written(quotas, f"{name}-quotas")
-    u = F.shiftrightunsigned(F.xxhash64("record_key", "target_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    drawn = (
-        records.filter(full).join(quotas.select("source_table", "category", "target_id", "quota", "p"), ["source_table", "category"])
-        .withColumn("u", u)
-        .withColumn("bucket", F.least(F.floor(F.col("u") / F.col("p") * BUCKETS), F.lit(BUCKETS)).cast("int"))
-        .select("source_table", "target_id", "record_key", "u", "bucket", "quota")
+    # the table of quotas is as small as that of targets; being written, its size is known
+    offered = records.filter(full).join(quotas.select("source_table", "category", "target_id", "quota", "p"), ["source_table", "category"]).withColumn("u", uniform(seed))
+    accepted = written(offered.filter(F.col("u") < F.col("p")).select("source_table", "target_id", "record_key", "u", "p", "quota"), f"{name}-accepted")
+    chosen = _smallest(accepted, F.col("u") / F.col("p"))
+    n_accepted = accepted.groupBy("target_id").agg(F.count(F.lit(1)).alias("n_accepted"))
+    short = written(
+        quotas.join(n_accepted, "target_id", "left").withColumn("lack", F.least("quota", "observed") - F.coalesce("n_accepted", F.lit(0))).filter(F.col("lack") > 0).select("target_id", F.col("lack").alias("quota"), "p"),
+        f"{name}-short",
     )
-    before = Window.partitionBy("target_id").orderBy("bucket")
-    cut = (
-        drawn.groupBy("target_id", "quota", "bucket").agg(F.count(F.lit(1)).alias("here"))
-        .withColumn("upto", F.sum("here").over(before))
-        .filter(F.col("upto") - F.col("here") < F.col("quota"))
-        .select("target_id", "bucket", F.when(F.col("upto") > F.col("quota"), F.col("quota") - F.col("upto") + F.col("here")).alias("part"))
-    )
-    kept = drawn.join(cut, ["target_id", "bucket"])
-    rank = F.row_number().over(Window.partitionBy("target_id").orderBy("u", "record_key"))
-    last = kept.filter(F.col("part").isNotNull()).withColumn("rank", rank).filter(F.col("rank") <= F.col("part"))
-    cols = ["source_table", "target_id", "record_key"]
-    sample = written(kept.filter(F.col("part").isNull()).select(cols).unionByName(last.select(cols)), f"{name}-sample")
+    refused = offered.filter(F.col("u") >= F.col("p")).select("source_table", "target_id", "record_key", "u").join(short, "target_id")
+    more = _smallest(refused, (F.col("u") - F.col("p")) / (1 - F.col("p")))
+    sample = written(chosen.unionByName(more), f"{name}-sample")
     taken = sample.groupBy("target_id").agg(F.count(F.lit(1)).alias("sampled"))
     sampled = F.coalesce("sampled", F.lit(0))
     report = quotas.join(taken, "target_id", "left").select(
