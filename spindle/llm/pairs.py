@@ -21,8 +21,10 @@ from spindle.session import written
 START, CONTEXTS = 0.05, (1, 2, 3, 4, 5, 6, 8, 10, 13, 17, 22)
 #: Characters by which a clause begins and ends where what stands between varies: Chinese, others.
 FRAME_ZH, FRAME = (4, 2), (10, 4)
-#: An unfinished length that holds so many times the mean of its neighbours is a limit.
-SPIKE, SPIKE_LEAST = 8.0, 20
+#: An unfinished length that holds so many times the mean of its neighbours, and so many deviations more than chance gives, is a limit.
+SPIKE, DEVIATIONS = 8.0, 8.0
+#: What is said besides declining (or besides stating that evidence is lacking), as a multiple of that, up to which an answer declines.
+BESIDES = 1.5
 #: Bits of the filter by which contexts that no open answer ends with are left out early, as a power of two; characters counted at once.
 FILTER_BITS, AT_ONCE = 24, 200_000
 
@@ -126,19 +128,30 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, r"(?<=[。！？!?])|(?<=\.)\s+|\n+"), lambda s: F.length(F.trim(s)) > 0)
 
 
+def mostly(said: Column, test) -> Column:
+    """Whether sentences that pass the test make the most of what is said; Chinese characters count twice."""
+    weight = lambda s: F.length(s) + F.regexp_count(s, F.lit(r"\p{IsHan}"))
+    both = F.aggregate(
+        said, F.struct(F.lit(0).alias("yes"), F.lit(0).alias("no")),
+        lambda n, s: F.when(test(s), F.struct((n["yes"] + weight(s)).alias("yes"), n["no"].alias("no"))).otherwise(F.struct(n["yes"].alias("yes"), (n["no"] + weight(s)).alias("no"))),
+        lambda n: (n["yes"] > 0) & (n["no"] <= n["yes"] * BESIDES),
+    )
+    return both
+
+
 def is_refusal(task: Column, answer: Column, expected: str) -> Column:
-    """A sentence declines and next to nothing is said besides; the statement that evidence is lacking is none where it is expected.
+    """Sentences that decline make the most of the answer; the statement that evidence is lacking is none where it is expected.
 
-    answer is without its label.
+    answer is without its label. The shares are of what is said, so that long answers are judged like short ones.
     """
     declines = lambda s: s.rlike(REFUSALS_ZH) | s.rlike(REFUSALS_EN)
     said = sentences(answer)
-    rest = F.aggregate(F.filter(said, lambda s: ~declines(s)), F.lit(0), lambda n, s: n + F.length(s) + F.regexp_count(s, F.lit(r"\p{IsHan}")))
     stated = answer.rlike(INSUFFICIENT)
     fits = task.isNull() | (F.regexp_replace(task, r"(?U)^\s+|\s+$", "") == expected)
-    # sentences are looked at one by one only where the whole has what declines
-    declined = F.when(declines(answer), F.exists(said, declines) & (rest <= 90)).otherwise(False)
-    return (declined & ~(stated & fits)) | ((F.length(answer) < 200) & ~fits & stated)
+    # sentences are looked at one by one only where the whole has what is looked for
+    declined = F.when(declines(answer), mostly(said, declines)).otherwise(False)
+    lacking = F.when(stated & ~fits, mostly(said, lambda s: s.rlike(INSUFFICIENT))).otherwise(False)
+    return (declined & ~(stated & fits)) | lacking
 
 
 def is_foreign(question: Column, answer: Column, ql: Column, al: Column) -> Column:
@@ -342,7 +355,16 @@ def unfinished(text: Column) -> Column:
 
 
 def broken_pairs(df: DataFrame, key: str, question: str, answer: str, task: str, expected_task: str = "证据不足", name: str = "pairs") -> DataFrame:
-    """key and defect of each defective pair: empty_answer, copied_question, refusal, wrong_language or truncated, the first that applies.
+    """key and defect of each defective pair; see judged_pairs."""
+    return judged_pairs(df, key, question, answer, task, expected_task, name).select(key, "defect")
+
+
+def judged_pairs(df: DataFrame, key: str, question: str, answer: str, task: str, expected_task: str = "证据不足", name: str = "pairs") -> DataFrame:
+    """key, defect and evidence of each defective pair: empty_answer, copied_question, refusal, wrong_language or truncated, the first that applies.
+
+    evidence lists what an answer is held to be truncated by: a mark of omission, what it ends in
+    (promise), an open bracket, how sentences end in this corpus (ending), a longer version, a length
+    limit; longer versions and limits count where the ending doesn't speak against them.
 
     Pairs sent twice count once, as first taken in; a null key is no pair. A null question can
     neither be copied nor have a language. Short answers (up to six words or twelve Chinese
@@ -373,41 +395,52 @@ def broken_pairs(df: DataFrame, key: str, question: str, answer: str, task: str,
     is_open = unfinished(kept) | item
     judged = written(
         # no filter here: it would be pushed below the columns it needs, and these be computed twice
-        staged.select("key", "early", F.when(F.col("early").isNull() & is_open, F.struct(a.alias("text"), "kept", "marked")).alias("open")),
+        staged.withColumn("is_open", F.col("early").isNull() & is_open)
+        .select("key", "early", F.when(F.col("is_open"), F.struct("marked", F.length(a).alias("length"))).alias("open"), F.when(F.col("is_open"), kept).otherwise(a).alias("whole")),
         f"{name}-judged",
     )
-    open_answers = judged.filter(F.col("open").isNotNull()).select("key", "open.*", F.length("open.text").alias("length"))
-    answers = records.filter(a.isNotNull()).select(a.alias("text"))
+    # of an answer that may be cut off, what stands before a mark of omission is compared with other answers
+    open_answers = judged.filter(F.col("open").isNotNull()).select("key", "open.*", F.col("whole").alias("kept"))
+    answers = judged.filter(F.col("whole").isNotNull()).select(F.col("whole").alias("text"))
     final = finalities(answers, open_answers.select(F.col("kept").alias("text"))).withColumnRenamed("text", "kept")
     prefixes = joined_edges(shortened_versions(answers))
-    prefixes = prefixes.groupBy("text").agg(F.first("goes_on").alias("goes_on"))
-    limits = length_limits(open_answers.filter(F.length("kept") > 40))
+    prefixes = prefixes.groupBy(F.col("text").alias("kept")).agg(F.min("goes_on").alias("goes_on"))
+    limits = length_limits(open_answers)
     words = count_of(F.col("kept"), r"[\p{L}\p{N}][\p{L}\p{N}'’-]*")
     brief = ~F.col("marked") & (((words <= 6) & (count_of(F.col("kept"), r"\p{IsHan}") == 0)) | ((F.length("kept") <= 12) & (count_of(F.col("kept"), r"\p{IsHan}") > 0)))
     promise = F.col("kept").rlike(r"(?:[,，、:：;；（(\[【“‘—-]|(?:^|\n)\s*(?:\d{1,3}[.)、]?|[*•]))\s*$")
     balance = sum(count_of(F.col("kept"), x) for x in (r"[（(【\[]",)) > sum(count_of(F.col("kept"), x) for x in (r"[）)】\]]",))
     # a continuation counts where it is more than the final stop
     longer = F.col("goes_on").isNotNull() & ~F.col("goes_on").rlike(rf"[{ENDS}.\s]")
+    ending = F.col("finality")
+    tests = {
+        "promise": promise, "omission": F.col("marked"), "bracket": ~brief & balance, "ending": ~brief & (ending < 0.5),
+        "longer": ~brief & longer & (ending < 0.8), "limit": ~brief & F.col("limit").isNotNull() & (ending < 0.7),
+    }
+    evidence = F.filter(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(k)) for k, t in tests.items()]), lambda x: x.isNotNull())
     cut = (
-        open_answers.join(prefixes, "text", "left").join(limits, "length", "left")
-        .join(final, "kept")
-        .filter(
-            promise | F.col("marked") | (~brief & (balance | (F.col("finality") < 0.5) | (longer & (F.col("finality") < 0.8)) | (F.col("limit").isNotNull() & (F.col("finality") < 0.7))))
-        )
-        .select("key", F.lit("truncated").alias("defect"))
+        open_answers.join(prefixes, "kept", "left").join(limits, "length", "left").join(final, "kept")
+        .withColumn("evidence", evidence).filter(F.size("evidence") > 0).select("key", F.lit("truncated").alias("defect"), "evidence")
     )
-    found = judged.filter(F.col("early").isNotNull()).select("key", F.col("early").alias("defect")).unionByName(cut)
+    none = F.array().cast("array<string>")
+    found = judged.filter(F.col("early").isNotNull()).select("key", F.col("early").alias("defect"), none.alias("evidence")).unionByName(cut)
     return found.withColumnRenamed("key", key)
 
 
 def length_limits(open_answers: DataFrame) -> DataFrame:
-    """length, limit: lengths at which far more answers stay unfinished than at the eight next to it."""
+    """length, limit: lengths at which far more answers stay unfinished than at the eight next to it, and more than chance would have it."""
     counts = open_answers.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
-    near = Window.partitionBy(F.floor(F.col("length") / 10_000)).orderBy("length").rangeBetween(-4, 4)
-    mean = (F.sum("n").over(near) - F.col("n")) / 8
-    spikes = counts.withColumn("mean", mean).filter((F.col("n") >= SPIKE_LEAST) & (F.col("n") > SPIKE * F.col("mean")))
+    near = counts.select(F.explode(F.sequence(F.col("length") - 4, F.col("length") + 4)).alias("length"), F.col("n").alias("m")).groupBy("length").agg(F.sum("m").alias("m"))
+    spikes = counts.join(near, "length").withColumn("mean", (F.col("m") - F.col("n")) / 8)
+    spikes = spikes.filter((F.col("n") > SPIKE * F.col("mean")) & (F.col("n") - F.col("mean") > DEVIATIONS * F.sqrt(F.col("mean") + 1)))
     return spikes.select("length", F.lit(True).alias("limit"))
 
 
 def defect_report(found: DataFrame) -> DataFrame:
     return found.groupBy("defect").agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
+def evidence_report(judged: DataFrame) -> DataFrame:
+    """How many truncated answers each kind of evidence speaks for, and for how many it does alone."""
+    one = judged.filter(F.col("defect") == "truncated").select(F.explode("evidence").alias("evidence"), (F.size("evidence") == 1).alias("alone"))
+    return one.groupBy("evidence").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if("alone").alias("n_alone"))

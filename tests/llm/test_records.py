@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 from spindle.llm.canonical import map_to_canonical, repaired, swap_distance
-from spindle.llm.pairs import SentenceEnds, broken_pairs, finalities, joined_edges, length_limits, shortened_versions
+from spindle.llm.pairs import SentenceEnds, broken_pairs, evidence_report, finalities, joined_edges, judged_pairs, length_limits, shortened_versions
 from spindle.llm import sampling
 from spindle.llm.sampling import Source, deficits, sample_by_targets
 from spindle.session import written
@@ -41,6 +41,23 @@ def test_defects(spark):
     assert got == want
 
 
+def test_long_answers_are_judged_like_short_ones(spark):
+    q = "怎样区分甲虫和乙虫？"
+    no, said = "我无法回答这个问题。", SENTENCES[0]
+    got = pairs(spark, [("long", q, no * 40, ""), ("more", q, no * 40 + said * 10, ""), ("once", q, no + said * 3, ""), ("lack", q, "所给片段没有涉及甲虫，证据不足。" * 20, "防治建议"), ("aside", q, said * 3 + "另一处证据不足。" + said * 3, "防治建议")])
+    assert got == {"long": "refusal", "more": "refusal", "lack": "refusal"}
+
+
+def test_evidence_of_truncation(spark):
+    long = "留种田若不清除残体，第二年的基数会成倍增加，应及时深埋残体"
+    full = [(f"f{i}", "怎样处理？", SENTENCES[i % 2] * 2, "t", T0) for i in range(30)]
+    rows = [("twin", "怎样处理？", long[:22] + "……", "t", T0), ("whole", "怎样处理？", long + "。", "t", T0), ("open", "怎样处理？", "应在田外（低洼处集中处理病残体并深埋", "t", T0)]
+    df = spark.createDataFrame(full + rows, "id string, question string, gold_answer string, task_type string, ingested_at timestamp_ntz")
+    got = {r["id"]: set(r["evidence"]) for r in judged_pairs(df, "id", "question", "gold_answer", "task_type").collect()}
+    assert set(got) == {"twin", "open"} and {"omission", "longer"} <= got["twin"] and "bracket" in got["open"]
+    assert {r["evidence"] for r in evidence_report(judged_pairs(df, "id", "question", "gold_answer", "task_type")).collect()} >= {"omission", "longer", "bracket"}
+
+
 def test_pairs_of_an_empty_table(spark):
     assert pairs(spark, []) == {}
 
@@ -111,6 +128,25 @@ def test_the_report_counts_the_sample(spark, monkeypatch):
     assert sorted((x["target_id"], x["sampled"], x["deficit"]) for x in r.report.collect()) == [(1, 10, 0), (2, 0, 10)]
 
 
+def test_too_few_acceptances_are_mended(spark, monkeypatch):
+    rows = [(f"r{i}", "ab"[i % 2], T0, "x") for i in range(400)]
+    targets = [(1, "s", "a", 250, 3, 1000), (2, "s", "b", 200, 3, 1000)]
+    want = sorted((x["target_id"], x["record_key"]) for x in sampled(spark, rows, targets).sample.collect())
+    drawn = {}
+    monkeypatch.setattr(sampling, "MARGIN", (-3, 0))  # far too few are accepted
+    monkeypatch.setattr(sampling, "written", lambda df, label: drawn.setdefault(label.rpartition("-")[2], written(df, label)))
+    r = sampled(spark, rows, targets)
+    assert sorted((x["target_id"], x["record_key"]) for x in r.sample.collect()) == want and len(want) == 180
+    assert drawn["accepted"].count() < 150 and drawn["short"].count() == 2
+
+
+def test_few_are_accepted_of_many(spark, monkeypatch):
+    drawn = {}
+    monkeypatch.setattr(sampling, "written", lambda df, label: drawn.setdefault(label.rpartition("-")[2], written(df, label)))
+    r = sampled(spark, [(f"r{i}", "a", T0, "x") for i in range(5000)], [(1, "s", "a", 100, 3, 100)])
+    assert r.sample.count() == 50 and 50 <= drawn["accepted"].count() < 250 and drawn["short"].count() == 0
+
+
 def test_sampling_of_an_empty_table(spark):
     r = sampled(spark, [], [(1, "s", "a", 500, 3, 400)])
     assert r.sample.count() == 0 and r.report.first()["deficit"] == 3
@@ -132,6 +168,12 @@ def test_canonical(spark):
     assert sorted(got) == sorted(VALUES.items())
 
 
+def test_traditional_characters_of_any_word(spark):
+    v = spark.createDataFrame([("k", x) for x in ("龜裂", "鐵銹鬱", "臺灣蟲害")], "kind string, value string")
+    e = spark.createDataFrame([(1, "k", ["龟裂"]), (2, "k", ["铁锈郁"]), (3, "k", ["台湾虫害"])], "canonical_id int, kind string, names array<string>")
+    assert {r["value"]: r["canonical_id"] for r in map_to_canonical(v, e).collect()} == {"龜裂": 1, "鐵銹鬱": 2, "臺灣蟲害": 3}
+
+
 def test_canonical_of_empty_tables(spark):
     v = spark.createDataFrame([("k", "a")], "kind string, value string")
     e = spark.createDataFrame([], "canonical_id int, kind string, names array<string>")
