@@ -29,11 +29,6 @@ def to_do(items: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
     return items.join(cache.select(*keys).distinct(), keys, "left_anti")
 
 
-def restored(items: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
-    """Items with what the cache has for them; rows without a description aren't valid."""
-    return items.join(cache.filter(F.coalesce(F.trim("description"), F.lit("")) != ""), keys)
-
-
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Events per type in tumbling windows; on a stream with a watermark."""
     e = events.withColumn("ts", F.col("ts").cast("timestamp"))

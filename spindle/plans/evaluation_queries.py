@@ -12,7 +12,7 @@ from spindle.operators.references import normal_key
 from spindle.plans.block_queries import SQUEEZE, W
 from spindle.plans.graph_queries import chunks
 from spindle.session import table
-from spindle.streaming.events import streamed_metrics, streamed_windows
+from spindle.streaming.events import streamed_metrics, streamed_progress, streamed_windows
 
 TERMS = ("蓟马", "跳甲", "网蝽", "thrips")
 HINTS = ("叶", "病斑", "防治")
@@ -110,6 +110,10 @@ def event_stream_totals(spark, d):
     return streamed_metrics(spark, f"{d}/events.parquet").select("event_type", "n_events", "n_without_value", "total", "first_ts", "last_ts")
 
 
+def event_stream_progress(spark, d):
+    return streamed_progress(spark, f"{d}/events.parquet", {"view": 10, "click": 40, "cart": 65, "purchase": 90})
+
+
 def event_stream_windows(spark, d):
     return streamed_windows(spark, f"{d}/events.parquet")
 
@@ -130,7 +134,7 @@ def document_status(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     eval_evidence, eval_selection, eval_judge, eval_validation, eval_report, eval_groups, eval_lengths, eval_retrieval, eval_review_sheet, eval_flat_evidence,
-    eval_sample_ids, event_totals, event_status, event_progress, event_windows, event_json, event_stream_totals, event_stream_windows, cache_to_do, document_status,
+    eval_sample_ids, event_totals, event_status, event_progress, event_windows, event_json, event_stream_totals, event_stream_progress, event_stream_windows, cache_to_do, document_status,
 )}
 
 _S = """with s as (select distinct id, task_type, modality, question, gold_answer, evidence, metadata, quality from rejected),
@@ -172,6 +176,7 @@ ORACLE_SQL = {
     "event_stream_totals": _TOTALS,
     "event_status": "select user_id, arg_max(event_type, (ts, event_id)) status, arg_max(event_id, (ts, event_id)) event_id from events group by 1",
     "event_progress": "select user_id, max(case event_type when 'view' then 10 when 'click' then 40 when 'cart' then 65 when 'purchase' then 90 else 0 end) progress from events group by 1",
+    "event_stream_progress": "select user_id, max(case event_type when 'view' then 10 when 'click' then 40 when 'cart' then 65 when 'purchase' then 90 else 0 end) progress from events group by 1",
     "event_windows": _WINDOWS,
     "event_stream_windows": _WINDOWS,
     "event_json": "select event_id, len(json_keys(props)) n_keys from events where props is not null and json_valid(props)",

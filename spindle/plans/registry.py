@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("reference_queries", "block_queries", "graph_queries", "evaluation_queries", "more_queries", "cleanup_queries", "pack_queries", "document_queries")
+MODULES = ("reference_queries", "block_queries", "graph_queries", "evaluation_queries", "more_queries", "cleanup_queries", "pack_queries", "document_queries", "source_queries")
 
 
 def _gather(attribute: str) -> dict:

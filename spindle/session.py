@@ -61,6 +61,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep(path: str) -> None:
+    """Notes a folder of this process, so that clean() removes it."""
+    _written.append(path)
+
+
 def clean(spark: SparkSession) -> int:
     """Removes the tables that this process wrote; how many there were."""
     n = len(_written)

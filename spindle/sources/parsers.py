@@ -137,7 +137,7 @@ def markdown_blocks(files: DataFrame, text: str = "text") -> DataFrame:
     """file_path, block_idx, type, text, text_level: lines that aren't blank; headings have their level and lose its marks."""
     lines = files.select("file_path", F.posexplode(F.split(text, r"\r?\n")).alias("block_idx", "line")).filter(F.trim("line") != "")
     level = F.length(F.regexp_extract("line", r"^(#{1,6})\s", 1))
-    return lines.select("file_path", "block_idx", F.lit("text").alias("type"), F.trim(F.regexp_replace("line", r"^#{1,6}\s+", "")).alias("text"), F.when(level > 0, level).alias("text_level"))
+    return lines.select("file_path", "block_idx", F.lit("text").alias("type"), F.regexp_replace(F.regexp_replace("line", r"^#{1,6}\s+", ""), r"(?U)^\s+|\s+$", "").alias("text"), F.when(level > 0, level).alias("text_level"))
 
 
 def decoded(content: Column) -> Column:
