@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from spindle.functions.ontology import DEFAULT, Ontology
@@ -24,6 +26,11 @@ def any_of(chars: str) -> str:
     return "[" + "".join("\\" + c if c in "\\[]^-&" else c for c in chars) + "]"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     """White space of any kind to single blanks, none at the ends; null becomes empty."""
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
@@ -177,17 +184,20 @@ def bigrams(c: Column) -> Column:
 
 def bigram_cosine(a: Column, b: Column) -> Column:
     """Cosine of the bigram counts; 0 where either is empty."""
-    x, y = bigrams(a), bigrams(b)
     count = lambda xs, g: F.size(F.filter(xs, lambda h: h == g))
-    dot = F.aggregate(F.array_distinct(x), F.lit(0.0), lambda s, g: s + count(x, g) * count(y, g))
-    norm = lambda xs: F.sqrt(F.aggregate(F.array_distinct(xs), F.lit(0.0), lambda s, g: s + count(xs, g) * count(xs, g)))
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(dot / (norm(x) * norm(y)))
+    dot = lambda x, y: F.aggregate(F.array_distinct(x), F.lit(0.0), lambda s, g: s + count(x, g) * count(y, g))
+    both = lambda v: F.when((F.size(v["x"]) == 0) | (F.size(v["y"]) == 0), 0.0).otherwise(dot(v["x"], v["y"]) / F.sqrt(dot(v["x"], v["x"]) * dot(v["y"], v["y"])))
+    return let(F.struct(bigrams(a).alias("x"), bigrams(b).alias("y")), both)
 
 
 def sentences(c: Column) -> Column:
     """Sentences of Chinese text, trimmed, none blank; the whole where there is none."""
-    parts = F.filter(F.transform(F.split(c, SENTENCE_END), lambda x: F.trim(x)), lambda x: x != "")
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.trim(c)))
+
+    def split(t: Column) -> Column:
+        parts = F.filter(F.transform(F.split(t, SENTENCE_END), lambda x: F.trim(x)), lambda x: x != "")
+        return let(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(F.trim(t))))
+
+    return let(c, split)
 
 
 def quote_source(c: Column) -> Column:

@@ -6,6 +6,8 @@ import difflib
 import hashlib
 import json
 import re
+from collections import Counter
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F, types as T
@@ -21,6 +23,35 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+@lru_cache(maxsize=100_000)
+def _counted(name: str) -> tuple[Counter, Counter, float]:
+    """Characters and bigrams of a name, and the norm of the latter."""
+    pairs = Counter(name[i : i + 2] for i in range(max(1, len(name) - 1))) if name else Counter()
+    return Counter(name), pairs, sum(n * n for n in pairs.values()) ** 0.5
+
+
+def alike(a: str, b: str, least: float) -> float:
+    """1 for equal names, else the greater of matching blocks and bigram cosine; 0 where neither reaches least.
+
+    Blocks can't match more than the characters that both have, which is counted first.
+    """
+    if a == b:
+        return 1.0
+    (x, p, m), (y, q, n) = _counted(a), _counted(b)
+    cosine = sum(c * q[g] for g, c in p.items() if g in q) / (m * n) if m and n else 0.0
+    most = 2 * sum(min(c, y[g]) for g, c in x.items() if g in y) / max(1, len(a) + len(b))
+    s = max(cosine, ratio(a, b)) if most >= least else cosine
+    return s if s >= least else 0.0
+
+
+def alike_names(least: float):
+    @F.pandas_udf(T.DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([alike(x, y, least) for x, y in zip(a, b)], dtype="float64")
+
+    return run
+
+
 def balanced_object(text: str | None) -> str | None:
     """The first balanced JSON object in a text, fences removed; None if there is none or it can't be read."""
     t = re.sub(r"^```(?:json)?\s*|\s*```$", "", (text or "").strip(), flags=re.IGNORECASE)

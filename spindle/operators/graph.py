@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spindle.functions.ontology import DEFAULT, Ontology
-from spindle.functions.text import attribute_value, bigram_cosine, bigrams, compare_name, consistent_type, entity_name, has_cjk, relation_allowed, relation_of, squeeze
-from spindle.functions.udfs import sequence_ratio
+from spindle.functions.text import attribute_value, bigrams, compare_name, consistent_type, entity_name, has_cjk, relation_allowed, relation_of, squeeze
+from spindle.functions.udfs import alike_names
 from spindle.session import written
 
 
@@ -146,16 +146,16 @@ def similar_names(nodes: DataFrame, least: float = 0.86) -> DataFrame:
 
     rarest = Window.partitionBy(*GROUP, "a").orderBy("df", "g")
     chars = with_df(n.withColumn("g", F.explode(F.array_distinct(F.split("k", "(?!^)(?=.)")))))
-    longest = F.floor(F.length("k") / (least * least))
-    first = chars.withColumn("rank", F.row_number().over(rarest)).filter(F.col("rank") <= F.floor((1 - least) * (F.length("k") + longest) + 1e-6) + 1)
-    near = F.least(F.length("ka"), F.length("kb")) >= F.greatest(F.length("ka"), F.length("kb")) * (least * least)
+    # blocks that reach least leave the longer name least / (2 - least) times as long as the shorter at the least
+    share = least / (2 - least)
+    first = chars.withColumn("rank", F.row_number().over(rarest)).filter(F.col("rank") <= F.floor((1 - share) * F.length("k") + 1e-6) + 1)
+    near = F.least(F.length("ka"), F.length("kb")) >= F.greatest(F.length("ka"), F.length("kb")) * (share - 1e-9)
     two = with_df(n.withColumn("g", F.explode(bigrams(F.col("k")))).groupBy(*GROUP, "a", "k", "g").agg(F.count(F.lit(1)).alias("c")))
     square = F.sum(F.col("c") * F.col("c"))
     rest, whole = square.over(rarest.rowsBetween(Window.currentRow, Window.unboundedFollowing)), square.over(Window.partitionBy(*GROUP, "a"))
     heavy = two.withColumn("rest", rest).withColumn("whole", whole).filter(F.col("rest") >= F.col("whole") * (least * least - 1e-9))
     pairs = _sharing(first).filter(near).unionByName(_sharing(heavy)).distinct()
-    s = F.when(F.col("ka") == F.col("kb"), 1.0).otherwise(F.greatest(sequence_ratio("ka", "kb"), bigram_cosine(F.col("ka"), F.col("kb"))))
-    return pairs.withColumn("similarity", s).filter(F.col("similarity") >= least).select(*GROUP, "a", "b", "similarity")
+    return pairs.withColumn("similarity", alike_names(least)("ka", "kb")).filter(F.col("similarity") >= least).select(*GROUP, "a", "b", "similarity")
 
 
 def components(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spindle.functions.ontology import DEFAULT, Ontology
-from spindle.functions.text import around, quote_source, sentences
+from spindle.functions.text import around, let, quote_source, sentences
 from spindle.operators.graph import keys_of
 
 QUOTE, PASSAGE, CONTEXT = 420, 900, 2200
@@ -23,17 +23,25 @@ def with_quote(df: DataFrame, content: str, terms: str, to: str, most: int = QUO
 
     A term counts three points, a hint one; the earliest of the best stands. Longer quotes are cut around the first term.
     """
-    s, focus, scores = F.col(f"{to}_s"), F.col(f"{to}_focus"), F.col(f"{to}_scores")
-    hits = lambda x: F.size(F.filter(focus, lambda t: x.contains(t)))
     hints = lambda x: sum((x.contains(h).cast("int") for h in o.hint_terms), F.lit(0))
-    df = df.withColumn(f"{to}_s", sentences(quote_source(F.col(content)))).withColumn(f"{to}_focus", focus_terms(F.col(terms), o))
-    df = df.withColumn(f"{to}_hits", F.transform(s, hits))
-    df = df.withColumn(f"{to}_scores", F.zip_with(s, F.col(f"{to}_hits"), lambda x, h: F.when(h > 0, 3 * h + hints(x))))
-    df = df.withColumn(f"{to}_i", F.array_position(scores, F.array_max(scores)).cast("int"))
-    i = F.col(f"{to}_i")
-    near = lambda k: F.when((i + k >= 1) & (F.coalesce(F.get(F.col(f"{to}_hits"), i + k - 1), F.lit(0)) > 0), F.get(s, i + k - 1)).otherwise("")
-    df = df.withColumn(to, F.when(F.coalesce(i, F.lit(0)) > 0, F.trim(F.concat(near(-1), F.get(s, i - 1), near(1)))).otherwise(""))
-    return df.withColumn(to, around(F.col(to), focus, most)).drop(*[f"{to}_{x}" for x in ("s", "focus", "hits", "scores", "i")])
+
+    def scored(v: Column) -> Column:
+        """Sentences with their number of terms and their points, none where they have no term."""
+        n = F.transform(v["s"], lambda x: F.size(F.filter(v["focus"], lambda t: x.contains(t))))
+        return F.struct(v["focus"].alias("focus"), F.zip_with(v["s"], n, lambda x, h: F.struct(x.alias("s"), h.alias("h"), F.when(h > 0, 3 * h + hints(x)).alias("p"))).alias("rows"))
+
+    def best(v: Column) -> Column:
+        points = F.transform(v["rows"], lambda r: r["p"])
+        return let(F.array_max(points), lambda m: let(F.array_position(points, m).cast("int"), lambda i: cut(v, i)))
+
+    def cut(v: Column, i: Column) -> Column:
+        near = lambda k: F.when((i + k >= 1) & (F.coalesce(F.get(v["rows"], i + k - 1)["h"], F.lit(0)) > 0), F.get(v["rows"], i + k - 1)["s"]).otherwise("")
+        quote = F.trim(F.concat(near(-1), F.get(v["rows"], i - 1)["s"], near(1)))
+        return F.when(F.coalesce(i, F.lit(0)) > 0, let(quote, lambda q: around(q, v["focus"], most))).otherwise("")
+
+    # one expression, each step of which is computed once
+    first = F.struct(sentences(quote_source(F.col(content))).alias("s"), focus_terms(F.col(terms), o).alias("focus"))
+    return df.withColumn(to, F.coalesce(let(first, lambda v: let(scored(v), best)), F.lit("")))
 
 
 def evidence_of(owners: DataFrame, chunks: DataFrame, o: Ontology = DEFAULT, budget: int = CONTEXT) -> DataFrame:

@@ -5,7 +5,7 @@ Where a model would be asked, stand-ins that follow from the row are used, so th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from spindle.functions.ontology import DEFAULT as O
 from spindle.functions.predicates import label_terms
@@ -23,9 +23,23 @@ QUOTAS = {"病虫害诊断": 45, "防治建议": 45, "药剂推荐": 35, "症状
 PREFIXES = {"病虫害诊断": "diag", "防治建议": "control", "药剂推荐": "pesticide", "症状识别": "symptom", "图像问答": "image", "证据不足": "unknown"}
 
 
+#: Kinds that names of these tables end in; texts speak of the kind more often than of the very name.
+KINDS = "(蓟马|跳甲|网蝽|蚜虫|象甲|种蝇|瘿螨|螟虫|夜蛾|腐病|枯病|锈病|斑病|霉病|白菜|芥蓝)"
+
+
+def by_kind(c: str) -> Column:
+    kind = F.regexp_extract(c, KINDS, 1)
+    return F.when(kind != "", kind).otherwise(F.col(c))
+
+
+def kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Edges between kinds."""
+    return edges(spark, d).withColumn("source", by_kind("source")).withColumn("target", by_kind("target"))
+
+
 def standing(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes by knowledge base and name: the later of several stands."""
-    n = nodes(spark, d)
+    """Nodes by knowledge base and kind, or name where it tells none: the later of several stands."""
+    n = nodes(spark, d).withColumn("id", by_kind("id"))
     return n.groupBy("kb_id", "id").agg(F.max("node_id").alias("node_id"), F.max_by(F.struct("entity_type", "source_ids"), "node_id").alias("n")).select("kb_id", "id", "node_id", "n.*")
 
 
@@ -44,15 +58,15 @@ def _shown(p: DataFrame) -> DataFrame:
 
 
 def pack_entities(spark, d):
-    return _shown(P.entity_packs(standing(spark, d), edges(spark, d), chunks(spark, d)))
+    return _shown(P.entity_packs(standing(spark, d), kinds(spark, d), chunks(spark, d)))
 
 
 def pack_relations(spark, d):
-    return _shown(P.relation_packs(standing(spark, d), edges(spark, d), chunks(spark, d)))
+    return _shown(P.relation_packs(standing(spark, d), kinds(spark, d), chunks(spark, d)))
 
 
 def pack_images(spark, d):
-    m = packs(spark, d, "image_path", "core_entity", "expected_entities", "modality").filter("modality = 'image'").select(F.col("pack_id").alias("image_id"), "image_path", F.col("core_entity").alias("target"), F.coalesce("expected_entities", F.array().cast("array<string>")).alias("labels"))
+    m = packs(spark, d, "image_path", "core_entity", "expected_entities", "modality").filter("modality = 'image'").select(F.col("pack_id").alias("image_id"), "image_path", by_kind("core_entity").alias("target"), F.coalesce("expected_entities", F.array().cast("array<string>")).alias("labels"))
     return _shown(P.image_packs(m, standing(spark, d), chunks(spark, d)))
 
 
@@ -214,8 +228,8 @@ def eval_five_marks(spark, d):
 
 
 def pack_names(spark, d):
-    """Names that are known: those of nodes, and those that chunks of packs are about."""
-    n = nodes(spark, d).select(F.col("id").alias("name"))
+    """Names that are known: those of nodes by kind, and those that chunks of packs are about."""
+    n = standing(spark, d).select(F.col("id").alias("name"))
     return n.unionByName(packs(spark, d, "expected_entities").select(F.explode("expected_entities").alias("name"))).filter(F.col("name").isNotNull()).distinct()
 
 
@@ -243,9 +257,10 @@ q7 as (select *, list_min(list_filter(list_transform(fo, lambda t: strpos(quote,
 q8 as (select {key}, {', '.join(f'{cut(m)} {n}' for n, m in mosts.items())} from q7)"""
 
 
-_BASE = """with n0 as (select node_id, any_value(kb_id) kb_id, any_value(id) id, any_value(entity_type) entity_type, any_value(source_ids) source_ids from graphnode where id is not null group by 1),
+_KIND = lambda c: f"coalesce(nullif(regexp_extract({c}, '{KINDS}', 1), ''), {c})"
+_BASE = f"""with n0 as (select node_id, any_value(kb_id) kb_id, {_KIND('any_value(id)')} id, any_value(entity_type) entity_type, any_value(source_ids) source_ids from graphnode where id is not null group by 1),
 n as (select kb_id, id, max(node_id) node_id, arg_max(entity_type, node_id) entity_type, arg_max(source_ids, node_id) source_ids from n0 group by 1, 2),
-e as (select edge_id, any_value(kb_id) kb_id, any_value(source) source, any_value(target) target, any_value(relation_type) relation_type, any_value(source_ids) source_ids from graphedge group by 1),
+e as (select edge_id, any_value(kb_id) kb_id, {_KIND('any_value(source)')} source, {_KIND('any_value(target)')} target, any_value(relation_type) relation_type, any_value(source_ids) source_ids from graphedge group by 1),
 c as (select chunk_id, content, file_path from (select chunk_id, arg_max(content, ingested_at) content, arg_max(file_path, ingested_at) file_path, arg_max(coalesce(is_deleted, false), ingested_at) gone from chunks group by 1) where not gone and trim(content) <> ''),
 p as (select pack_id, any_value(core_entity) core_entity, any_value(entity_type) entity_type, any_value(evidence) evidence, any_value(context) context, any_value(modality) modality, any_value(image_path) image_path, any_value(notes) notes, any_value(expected_entities) expected_entities from evidencepack group by 1),
 s as (select id, any_value(task_type) task_type, any_value(modality) modality, any_value(question) question, any_value(gold_answer) gold_answer, any_value(image_path) image_path, any_value(evidence) evidence, any_value(metadata) metadata, any_value(quality) quality from rejected group by 1)"""
@@ -292,7 +307,7 @@ ORACLE_SQL = {
     "pack_entities": _packed(f"select 'entity::' || kb_id || '::' || id pack_id, {_KEYS.format(_FLAT)} ks, [id] terms from n where entity_type in ({_Q(O.pack_types)})", f", nn as (select *, 'entity::' || kb_id || '::' || id pack_id from n where entity_type in ({_Q(O.pack_types)})) {_ENDS} select nn.kb_id, nn.pack_id, nn.id core_entity, entity_type, {_DISTINCT('list_concat([nn.id], coalesce(o4.l, []))')} entities, coalesce(array_to_string(t5.l, '|'), '') relations, n_evidence, cited, quotes, coalesce(context, md5('')) context from nn join ev using (pack_id) left join o4 on o4.kb_id = nn.kb_id and o4.id = nn.id left join t5 on t5.kb_id = nn.kb_id and t5.id = nn.id"),
     "pack_relations": _packed(f"select concat_ws('::', 'relation', edge_id, source, target) pack_id, {_KEYS.format(_FLAT)} ks, list_filter([source, target, relation_type], lambda t: t is not null) terms from e", f", ee as (select *, concat_ws('::', 'relation', edge_id, source, target) pack_id from e) select ee.kb_id, pack_id, source core_entity, coalesce(nullif(a.entity_type, ''), b.entity_type, '') entity_type, {_DISTINCT('list_filter([source, target], lambda x: x is not null)')} entities, case when coalesce(relation_type, '') <> '' then relation_type else '{O.related}' end relations, n_evidence, cited, quotes, coalesce(context, md5('')) context from ee join ev using (pack_id) left join n a on a.kb_id = ee.kb_id and a.id = ee.source left join n b on b.kb_id = ee.kb_id and b.id = ee.target"),
     "pack_images": _packed(f"""select 'image::' || m.pack_id pack_id, list(distinct k) ks0, list(k order by a, k) ks, any_value(terms) terms, any_value(core) core from
-      (select m.pack_id, k, min((m.place, n.i)) a, any_value(mt.l) terms, any_value(case when tg <> '' then tg else mt.l[1] end) core from mm m join (select id, unnest(range(1, len(kk) + 1)) i, unnest(kk) k from (select id, {_KEYS.format(_FLAT)} kk from n)) n on n.id = m.t join mt on mt.pack_id = m.pack_id where (tg = '' or list_contains(mt.l, tg)) group by 1, 2) m group by 1""", f"select null::varchar kb_id, pack_id, core core_entity, coalesce(nullif(kd.entity_type, ''), '{O.pictured}') entity_type, array_to_string(terms, '|') entities, '' relations, n_evidence, cited, quotes, coalesce(context, md5('')) context from ow join ev using (pack_id) left join (select id, arg_max(entity_type, node_id) entity_type from n group by 1) kd on kd.id = core").replace(", ow as (", """, ip as (select pack_id, trim(coalesce(core_entity, '')) tg, list_filter(list_concat([trim(coalesce(core_entity, ''))], list_transform(coalesce(expected_entities, []), lambda x: trim(x))), lambda x: x <> '') ls from p where modality = 'image'),
+      (select m.pack_id, k, min((m.place, n.i)) a, any_value(mt.l) terms, any_value(case when tg <> '' then tg else mt.l[1] end) core from mm m join (select id, unnest(range(1, len(kk) + 1)) i, unnest(kk) k from (select id, {_KEYS.format(_FLAT)} kk from n)) n on n.id = m.t join mt on mt.pack_id = m.pack_id where (tg = '' or list_contains(mt.l, tg)) group by 1, 2) m group by 1""", f"select null::varchar kb_id, pack_id, core core_entity, coalesce(nullif(kd.entity_type, ''), '{O.pictured}') entity_type, array_to_string(terms, '|') entities, '' relations, n_evidence, cited, quotes, coalesce(context, md5('')) context from ow join ev using (pack_id) left join (select id, arg_max(entity_type, node_id) entity_type from n group by 1) kd on kd.id = core").replace(", ow as (", """, ip as (select pack_id, trim(coalesce(""" + _KIND('core_entity') + """, '')) tg, list_filter(list_concat([trim(coalesce(""" + _KIND('core_entity') + """, ''))], list_transform(coalesce(expected_entities, []), lambda x: trim(x))), lambda x: x <> '') ls from p where modality = 'image'),
       mm as (select pack_id, tg, place, t from (select pack_id, tg, unnest(range(0, len(l2))) place, unnest(l2) t from (select pack_id, tg, list_filter(ls, lambda x, i: list_position(ls, x) = i) l2 from ip)) where t in (select id from n)), mt as (select pack_id, list(t order by place) l from mm group by 1), ow as (""", 1),
     "pack_labels": _BASE + " select pack_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') labels from (select pack_id, list_filter(list_transform(list_concat([core_entity], coalesce(expected_entities, [])), lambda x: trim(x)), lambda x: x <> '') l from p where modality = 'image')",
     "eval_quotes": _BASE + f", sr as (select chunk_id, content, [{_Q(TERMS)}] terms from c)," + _quotes("sr", "chunk_id", {"quote": 60}) + " select chunk_id, quote from q8 where quote <> ''",

@@ -140,9 +140,18 @@ def markdown_blocks(files: DataFrame, text: str = "text") -> DataFrame:
     return lines.select("file_path", "block_idx", F.lit("text").alias("type"), F.regexp_replace(F.regexp_replace("line", r"^#{1,6}\s+", ""), r"(?U)^\s+|\s+$", "").alias("text"), F.when(level > 0, level).alias("text_level"))
 
 
-def decoded(content: Column) -> Column:
-    """Bytes as UTF-8, where they are; else as GBK, else Latin-1."""
-    return F.coalesce(F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")), F.expr("decode(content, 'GBK')"), F.decode(content, "ISO-8859-1"))
+@F.pandas_udf(T.StringType())
+def decoded(content: pd.Series) -> pd.Series:
+    """Bytes by the first encoding that they fit: UTF-8, GBK, Windows-1252, else Latin-1, which all fit."""
+
+    def one(raw: bytes | None) -> str | None:
+        for name in ("utf-8", "gbk", "cp1252", "latin-1"):
+            try:
+                return None if raw is None else bytes(raw).decode(name)
+            except UnicodeDecodeError:
+                pass
+
+    return content.map(one)
 
 
 OUTCOME = "path string, success boolean, n_blocks int, error string, blocks array<struct<type:string,text:string,page_idx:int>>"

@@ -133,8 +133,8 @@ def test_parsers(spark, tmp_path):
     assert one(spark, S.inline_markup(F.col("t")), t="**b** _i_ a_b_c `x<y` [t](u) ~~s~~") == '<b>b</b> <i>i</i> a_b_c <font name="Courier" size="9" color="darkred">x&lt;y</font> <link href="u" color="blue"><u>t</u></link> <strike>s</strike>'
     md = spark.createDataFrame([("f", "# T\n\n## U \r\nline\n#no")], "file_path string, text string")
     assert [(r["block_idx"], r["text"], r["text_level"]) for r in S.markdown_blocks(md).orderBy("block_idx").collect()] == [(0, "T", 1), (2, "U", 2), (3, "line", None), (4, "#no", None)]
-    raw = spark.createDataFrame([("中文".encode(),), ("中文".encode("gbk"),), (b"\xe9t\xe9",)], "b binary")
-    assert [r[0] for r in raw.select(S.decoded(F.col("b"))).collect()][:2] == ["中文", "中文"]
+    raw = spark.createDataFrame([("中文".encode(),), ("中文".encode("gbk"),), (b"caf\xe9",), (b"\x81\xff",), (None,)], "b binary")
+    assert [r[0] for r in raw.select(S.decoded("b")).collect()] == ["中文", "中文", "café", "\x81ÿ", None]
     paths = spark.createDataFrame([("a.PDF",), ("b.pdf",), ("c.txt",), ("dd.pdf",)], "path string")
 
     def parse(p):
