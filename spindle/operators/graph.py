@@ -196,3 +196,28 @@ def subgraph(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, most_nodes:
     n = n.withColumn("r", rank("node_id")).filter(F.col("r") <= most_nodes).drop("r")
     e = e.withColumn("r", rank("edge_id")).filter(F.col("r") <= most_edges).drop("r")
     return n, e
+
+
+def focused_subgraph(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, whole: bool = False, most_nodes: int = 180, most_edges: int = 360) -> tuple[DataFrame, DataFrame]:
+    """kb_id, node_id, highlighted and kb_id, edge_id, highlighted: what a view of a graph shows for chunks (chunk_id).
+
+    Highlighted is what the chunks support. A knowledge base with any of that shows these nodes, the
+    ends of these edges, and these edges; one without shows its first nodes and the edges between
+    them. Both are capped in the order of ids, unless the whole is asked for.
+    """
+    hit = lambda df, key: df.withColumn("chunk_id", F.explode(keys_of("source_ids"))).join(chunks.select("chunk_id"), "chunk_id", "left_semi").select(key).distinct().withColumn("highlighted", F.lit(True))
+    n = nodes.select("kb_id", "node_id", F.col("id").alias("name")).join(hit(nodes, "node_id"), "node_id", "left").withColumn("highlighted", F.coalesce("highlighted", F.lit(False)))
+    e = edges.select("kb_id", "edge_id", "source", "target").join(hit(edges, "edge_id"), "edge_id", "left").withColumn("highlighted", F.coalesce("highlighted", F.lit(False)))
+    if whole:
+        return n.select("kb_id", "node_id", "highlighted"), e.select("kb_id", "edge_id", "highlighted")
+    first = lambda df, key, most: df.withColumn("r", F.row_number().over(Window.partitionBy("kb_id").orderBy(key))).filter(F.col("r") <= most).drop("r")
+    lit_n, lit_e = n.filter("highlighted"), e.filter("highlighted")
+    names = lit_n.select("kb_id", "name")
+    for end in ("source", "target"):
+        names = names.unionByName(lit_e.select("kb_id", F.col(end).alias("name")))
+    told = lit_n.select("kb_id").unionByName(lit_e.select("kb_id")).distinct()
+    focus = first(n.join(names.distinct(), ["kb_id", "name"], "left_semi"), "node_id", most_nodes)
+    plain = first(n.join(told, "kb_id", "left_anti"), "node_id", most_nodes)
+    between = with_both_ends(e.join(told, "kb_id", "left_anti"), plain)
+    out_n, out_e = focus.unionByName(plain.select(*focus.columns)), first(lit_e.unionByName(between.select(*lit_e.columns)), "edge_id", most_edges)
+    return out_n.select("kb_id", "node_id", "highlighted"), out_e.select("kb_id", "edge_id", "highlighted")

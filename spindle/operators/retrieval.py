@@ -102,6 +102,20 @@ def by_weight(hits: DataFrame, keys: str = "source_ids", most: int | None = None
     return (counted if most is None else counted.filter(F.col("rank") <= most)).select("query_id", "chunk_id", "n", "rank")
 
 
+def by_vector(hits: DataFrame, queries: DataFrame, vectors: DataFrame, keys: str = "source_ids", most: int | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank: chunks named by what was hit (query_id, keys), those nearest to the query first.
+
+    queries has query_id and embedding, vectors chunk_id and embedding. Chunks without a vector, or with that of zero, are left out.
+    """
+    named = hits.select("query_id", F.explode(keys).alias("chunk_id")).distinct()
+    pairs = named.join(vectors.select("chunk_id", F.col("embedding").alias("v")), "chunk_id").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    score = dot("q", "v") / F.nullif(F.sqrt(dot("q", "q") * dot("v", "v")), F.lit(0.0))
+    r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    ranked = pairs.withColumn("score", score).filter(F.col("score").isNotNull()).withColumn("rank", r)
+    return (ranked if most is None else ranked.filter(F.col("rank") <= most)).select("query_id", "chunk_id", "score", "rank")
+
+
 def within_budget(pieces: DataFrame, by: str, order: str, text: str, budget: int) -> DataFrame:
     """Pieces in order until budget characters are used up; the last one is cut, the rest left out."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -122,6 +122,21 @@ def graph_subgraph_edges(spark, d):
     return G.subgraph(nodes(spark, d), edges(spark, d), _pack_chunks(spark, d))[1].select("kb_id", "edge_id")
 
 
+def graph_focus_nodes(spark, d):
+    return G.focused_subgraph(nodes(spark, d), edges(spark, d), _pack_chunks(spark, d).filter(F.col("chunk_id") < "chunk-3"))[0]
+
+
+def graph_focus_edges(spark, d):
+    return G.focused_subgraph(nodes(spark, d), edges(spark, d), _pack_chunks(spark, d).filter(F.col("chunk_id") < "chunk-3"))[1]
+
+
+def graph_whole_view(spark, d):
+    """All of the graph, with the share of nodes that is highlighted."""
+    n, e = G.focused_subgraph(nodes(spark, d), edges(spark, d), _pack_chunks(spark, d), whole=True)
+    both = n.select("kb_id", "highlighted", F.lit("nodes").alias("part")).unionByName(e.select("kb_id", "highlighted", F.lit("edges").alias("part")))
+    return both.groupBy("kb_id", "part").agg(F.count(F.lit(1)).alias("n"), F.count_if("highlighted").alias("n_highlighted"))
+
+
 def _hits(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     q = e.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
@@ -175,7 +190,7 @@ def search_citations(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     graph_names, graph_keys, graph_stages, graph_types, graph_merged_nodes, graph_relations, graph_merged_edges, graph_remapped_edges, graph_attributes, graph_clean_edges, graph_summary,
-    graph_degrees, graph_similar_names, graph_name_cosines, graph_components, graph_subgraph_nodes, graph_subgraph_edges, search_top_k, search_local, search_global, search_hybrid,
+    graph_degrees, graph_similar_names, graph_name_cosines, graph_components, graph_subgraph_nodes, graph_subgraph_edges, graph_focus_nodes, graph_focus_edges, graph_whole_view, search_top_k, search_local, search_global, search_hybrid,
     search_chunks, search_context, search_citations,
 )}
 
@@ -215,6 +230,13 @@ hn as (select h.*, n.kb_id, n.id as name, n.node_id from hits h join n on n.node
 gl as (select query_id, kb_id, name, min(rank) rank from (select h.query_id, e.kb_id, e.source as name, rank from hits h join e on e.edge_id = h.vec_id union all select h.query_id, e.kb_id, e.target, rank from hits h join e on e.edge_id = h.vec_id) group by 1, 2, 3),
 cw as (select query_id, k chunk_id, n, rank from (select query_id, k, count(*) n, min(rank) best, row_number() over (partition by query_id order by count(*) desc, min(rank), k) rank from (select distinct query_id, rank, vec_id, k from hn join nk using (node_id)) group by 1, 2))
 """
+_FOCUS = _N + """, p3 as (select k from pc where k < 'chunk-3'), h1 as (select n.*, node_id in (select node_id from nk join p3 using (k)) highlighted from n), h2 as (select e.*, edge_id in (select edge_id from ek join p3 using (k)) highlighted from e),
+na as (select kb_id, id as name from h1 where highlighted union select kb_id, source from h2 where highlighted union select kb_id, target from h2 where highlighted), tk as (select kb_id from h1 where highlighted and kb_id is not null union select kb_id from h2 where highlighted and kb_id is not null),
+fn as (select * from (select h1.kb_id, node_id, highlighted, row_number() over (partition by h1.kb_id order by node_id) r from h1 join na on na.kb_id = h1.kb_id and na.name = h1.id) where r <= 180),
+pn as (select * from (select kb_id, id, node_id, highlighted, row_number() over (partition by kb_id order by node_id) r from h1 where kb_id is null or kb_id not in (select kb_id from tk)) where r <= 180),
+ce as (select kb_id, edge_id, highlighted from h2 where highlighted union all select kb_id, edge_id, highlighted from h2 where (kb_id is null or kb_id not in (select kb_id from tk)) and exists (select 1 from pn where pn.kb_id = h2.kb_id and pn.id = source) and exists (select 1 from pn where pn.kb_id = h2.kb_id and pn.id = target)),
+fe as (select * from (select *, row_number() over (partition by kb_id order by edge_id) r from ce) where r <= 360)
+"""
 # matching blocks: the longest common block of two names, the earliest in the first, then in the second, and again on both sides of it
 _ALIKE = lambda least, where="true": rf"""
 , nm as (select distinct kb_id, entity_type, name, {_PLAIN('name')} k from m where {where}),
@@ -258,6 +280,9 @@ ORACLE_SQL = {
       select node, min(seen) component from r group by 1""",
     "graph_subgraph_nodes": _N + "select kb_id, node_id from (select n.kb_id, n.node_id, row_number() over (partition by n.kb_id order by n.node_id) r from n join nh on nh.kb_id = n.kb_id and nh.name = n.id) where r <= 180",
     "graph_subgraph_edges": _N + "select kb_id, edge_id from (select kb_id, edge_id, row_number() over (partition by kb_id order by edge_id) r from eh) where r <= 360",
+    "graph_focus_nodes": _FOCUS + "select kb_id, node_id, highlighted from fn union all select kb_id, node_id, highlighted from pn",
+    "graph_focus_edges": _FOCUS + "select kb_id, edge_id, highlighted from fe",
+    "graph_whole_view": _N + ", hn2 as (select distinct node_id from nk join pc using (k)), a as (select kb_id, 'nodes' part, node_id in (select node_id from hn2) h from n union all select kb_id, 'edges', edge_id in (select edge_id from eh) from e) select kb_id, part, count(*) n, count(*) filter (h) n_highlighted from a group by 1, 2",
     "search_top_k": _N + "select query_id, vec_id, round(score, 5) score, rank from hits",
     "search_local": _N + ", x as (select h.query_id, e.edge_id, min(rank) hit, max(e.weight) w from hn h join e on e.kb_id = h.kb_id and (e.source = h.name or e.target = h.name) group by 1, 2) select query_id, edge_id, r rank from (select *, row_number() over (partition by query_id order by hit, w desc nulls last, edge_id) r from x)",
     "search_global": _N + "select query_id, kb_id, name, rank from gl",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spindle.engine import Config, Engine, KnowledgeBase
+from spindle.operators import retrieval as R
 from spindle.operators.graph import keys_of, subgraph
 from spindle.plans.block_queries import W, blocks
 from spindle.plans.graph_queries import _N, chunks, edges, nodes
@@ -132,6 +133,16 @@ def search_whole_context(spark, d):
     return c.select("query_id", F.md5("context").alias("context"))
 
 
+def search_chunks_vector(spark, d):
+    """The chunks of the entities found, nearest to the query first; a chunk has the vector of the first node that names it."""
+    kb, q = _kb(spark, d)
+    near = R.vector_top_k(q, kb.vectors.filter("kind = 'entity'").select("vec_id", "embedding"))
+    hits = near.join(kb.nodes.select(F.col("node_id").alias("vec_id"), keys_of("source_ids").alias("source_ids")), "vec_id")
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("node_id"), "embedding")
+    v = kb.nodes.select("node_id", F.explode(keys_of("source_ids")).alias("chunk_id")).join(e, "node_id").groupBy("chunk_id").agg(F.min_by("embedding", "node_id").alias("embedding"))
+    return R.by_vector(hits, q, v, most=20).select("query_id", "chunk_id", F.round("score", 5).alias("score"), "rank")
+
+
 def search_one(spark, d):
     """Retrieval and citations of one question over a knowledge base: what a user waits for, models aside."""
     kb, q = _kb(spark, d)
@@ -148,7 +159,7 @@ def search_focus(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     source_ocr, source_trees, source_html, source_markup, source_markdown, source_batch, source_batch_blocks, source_to_parse, source_registry,
-    search_mode_local, search_mode_global, search_mode_hybrid, search_mode_mix, search_mode_naive, search_whole_context, search_one, search_focus,
+    search_mode_local, search_mode_global, search_mode_hybrid, search_mode_mix, search_mode_naive, search_whole_context, search_chunks_vector, search_one, search_focus,
 )}
 
 _B = "with b as (select distinct block_id, file_path, block_idx, type, text, text_level, page_idx, table_body from test4_content_list)"
@@ -184,6 +195,9 @@ ORACLE_SQL = {
     "search_mode_hybrid": _merged("lo", "go") + _SHOW,
     "search_mode_mix": _merged("lo", "go", "na") + _SHOW,
     "search_mode_naive": _merged("na") + _SHOW,
+    "search_chunks_vector": _MODES + """, cv as (select k, arg_min(embedding, node_id) v from nk join embeddings e on e.vec_id = nk.node_id group by 1), nm as (select distinct query_id, nk.k from h10 h join nk on nk.node_id = h.vec_id where h.kind = 'entity'),
+      sc as (select query_id, nm.k, list_cosine_similarity(cast(q.embedding as double[]), cast(v as double[])) s from nm join cv using (k) join embeddings q on q.vec_id = nm.query_id)
+      select query_id, k chunk_id, round(s, 5) score, r rank from (select *, row_number() over (partition by query_id order by s desc, k) r from sc) where r <= 20""",
     "search_one": _merged("lo", "go", "na").replace(" 400", " 12000") + " select query_id, k chunk_id, rank, least(length(content), 320)::int n_chars from tx where used < 12000 and query_id = 0",
     "search_focus": _merged("lo", "go", "na") + """, oc as (select distinct k from tx where used < 12000 and query_id = 0), oe as (select distinct e.* from e join ek using (edge_id) join oc using (k)),
       oh as (select distinct kb_id, id as name from n join nk using (node_id) join oc using (k) union select kb_id, source from oe union select kb_id, target from oe)

@@ -196,3 +196,31 @@ def test_state(spark):
     e = spark.createDataFrame([(1, T0, 1, "click", 2.0), (2, T0 + DAY, 1, "view", None), (3, T0 + DAY, 1, "purchase", 1.0)], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
     assert S.latest_status(e).first()["status"] == "purchase" and S.progress(e, {"purchase": 190, "view": 10}).first()["progress"] == 100
     assert S.windowed_counts(e).count() == 3 and S.event_metrics(e.limit(0)).count() == 0
+
+
+def test_focused_subgraph(spark):
+    n = spark.createDataFrame([(i, kb, f"n{i}", keys) for i, kb, keys in [(1, "a", ["c1"]), (2, "a", []), (3, "a", ["x"]), (4, "b", []), (5, "b", None), (6, None, ["c1"])]], "node_id long, kb_id string, id string, source_ids array<string>")
+    e = spark.createDataFrame([(1, "a", "n1", "n2", ["c1"]), (2, "a", "n1", "n3", []), (3, "b", "n4", "n5", None), (4, "b", "n4", "gone", None)], "edge_id long, kb_id string, source string, target string, source_ids array<string>")
+    c = spark.createDataFrame([("c1",), ("c1",)], "chunk_id string")
+    show = lambda g: [sorted((tuple(r) for r in x.collect()), key=str) for x in g]
+    nodes, edges = show(G.focused_subgraph(n, e, c))
+    assert nodes == [("a", 1, True), ("a", 2, False), ("b", 4, False), ("b", 5, False), (None, 6, True)] or (None, 6, True) not in nodes
+    assert [x[:2] for x in nodes if x[0]] == [("a", 1), ("a", 2), ("b", 4), ("b", 5)] and edges == [("a", 1, True), ("b", 3, False)]
+    nodes, edges = show(G.focused_subgraph(n, e, c.limit(0), most_nodes=1))
+    assert [x[:2] for x in nodes if x[0]] == [("a", 1), ("b", 4)] and edges == []
+    nodes, edges = show(G.focused_subgraph(n, e, c, whole=True))
+    assert len(nodes) == 6 and len(edges) == 4 and sum(x[2] for x in nodes) == 2
+
+
+def test_chunks_by_vector(spark):
+    h = spark.createDataFrame([(1, ["a", "b", "z", "none"]), (1, ["a"])], "query_id int, source_ids array<string>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<float>")
+    v = spark.createDataFrame([("a", [1.0, 1.0]), ("b", [2.0, 0.0]), ("z", [0.0, 0.0]), ("other", [1.0, 0.0])], "chunk_id string, embedding array<float>")
+    assert [(r["chunk_id"], r["rank"]) for r in R.by_vector(h, q, v).orderBy("rank").collect()] == [("b", 1), ("a", 2)]
+    assert R.by_vector(h, q, v, most=1).count() == 1 and R.by_vector(h.limit(0), q, v).count() == 0
+
+
+def test_components_of_a_long_chain(spark):
+    pairs = spark.range(300).selectExpr("id a", "id + 1 b").unionByName(spark.range(1000, 1200).selectExpr("cast(1000 as long) a", "id b"))
+    got = {r["node"]: r["component"] for r in G.components(pairs).collect()}
+    assert len(got) == 301 + 200 and {v for k, v in got.items() if k <= 300} == {0} and {v for k, v in got.items() if k >= 1000} == {1000}
