@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spindle.functions import predicates as P
 from spindle.functions.ontology import DEFAULT as O
-from spindle.functions.text import file_name, safe_int, split_keys_loose, squeeze, suffix_of
+from spindle.functions.text import file_name, join_keys, safe_int, split_keys_loose, squeeze, suffix_of
 from spindle.functions.udfs import content_key, marked_prompt, parse_cache_key, query_cache_key, retrieval_field, robust_json
 from spindle.operators import documents as D
 from spindle.operators.graph import keys_of
@@ -66,7 +66,7 @@ def text_fields(spark, d):
 def text_keys(spark, d):
     """Keys joined in other ways, split again, and numbers in names."""
     n = nodes(spark, d).select("node_id", "id", keys_of("source_ids").alias("keys"))
-    joined = F.concat(F.array_join("keys", "&lt;SEP&gt;"), F.lit("; "), F.coalesce(F.get("keys", F.lit(0)), F.lit("")), F.lit(", x "))
+    joined = F.concat(F.replace(join_keys(F.col("keys")), F.lit("<SEP>"), F.lit("&lt;SEP&gt;")), F.lit("; "), F.coalesce(F.get("keys", F.lit(0)), F.lit("")), F.lit(", x "))
     return n.select("node_id", F.array_join(split_keys_loose(joined), "|").alias("split"), safe_int(F.regexp_replace("id", r"\D", "")).alias("number"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spindle.functions.ontology import DEFAULT as O
 from spindle.functions.text import any_of, attribute_field, bigram_cosine, compare_name, consistent_type, entity_name, entity_type, has_cjk, is_alias, modality_of, relation_of, squeeze, stage_parts, without_suffix
+from spindle.functions.udfs import sequence_ratio
 from spindle.operators import graph as G, retrieval as R
 from spindle.operators.records import first_version, latest_version
 from spindle.plans.block_queries import SQUEEZE
@@ -105,6 +106,12 @@ def graph_name_cosines(spark, d):
     return n.select("id", c(compare_name(F.col("id"))).alias("plain"), c(stage_parts(F.col("id"))["base"]).alias("base"))
 
 
+def graph_name_ratios(spark, d):
+    """Sequence ratio of each name to its base read backwards."""
+    n = nodes(spark, d).select("id").distinct().withColumn("back", F.reverse(stage_parts(F.col("id"))["base"]))
+    return n.select("id", F.round(sequence_ratio("id", "back"), 6).alias("ratio"))
+
+
 def graph_components(spark, d):
     e = edges(spark, d)
     return G.components(e.select(F.concat_ws("/", "kb_id", "source").alias("a"), F.concat_ws("/", "kb_id", "target").alias("b")).filter(F.col("source").isNotNull() & F.col("target").isNotNull() & F.col("kb_id").isNotNull()))
@@ -190,7 +197,7 @@ def search_citations(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     graph_names, graph_keys, graph_stages, graph_types, graph_merged_nodes, graph_relations, graph_merged_edges, graph_remapped_edges, graph_attributes, graph_clean_edges, graph_summary,
-    graph_degrees, graph_similar_names, graph_name_cosines, graph_components, graph_subgraph_nodes, graph_subgraph_edges, graph_focus_nodes, graph_focus_edges, graph_whole_view, search_top_k, search_local, search_global, search_hybrid,
+    graph_degrees, graph_similar_names, graph_name_cosines, graph_name_ratios, graph_components, graph_subgraph_nodes, graph_subgraph_edges, graph_focus_nodes, graph_focus_edges, graph_whole_view, search_top_k, search_local, search_global, search_hybrid,
     search_chunks, search_context, search_citations,
 )}
 
@@ -237,25 +244,28 @@ pn as (select * from (select kb_id, id, node_id, highlighted, row_number() over
 ce as (select kb_id, edge_id, highlighted from h2 where highlighted union all select kb_id, edge_id, highlighted from h2 where (kb_id is null or kb_id not in (select kb_id from tk)) and exists (select 1 from pn where pn.kb_id = h2.kb_id and pn.id = source) and exists (select 1 from pn where pn.kb_id = h2.kb_id and pn.id = target)),
 fe as (select * from (select *, row_number() over (partition by kb_id order by edge_id) r from ce) where r <= 360)
 """
-# matching blocks: the longest common block of two names, the earliest in the first, then in the second, and again on both sides of it
+# matching blocks of ab (id, ka, kb): the longest common block of two names, the earliest in the first, then in the second, and again on both sides of it
+_BLOCKS = """ij as (select id, ka, kb, i, unnest(range(0, length(kb))) j from (select id, ka, kb, unnest(range(0, length(ka))) i from ab)),
+tri as (select id, i, j, k from (select id, ka, kb, i, j, unnest(range(1, least(length(ka) - i, length(kb) - j) + 1)) k from ij where ka[i + 1] = kb[j + 1]) where ka[i + 1:i + k] = kb[j + 1:j + k]),
+bl as (with recursive seg(id, alo, ahi, blo, bhi, got) as (select id, 0::bigint, length(ka)::bigint, 0::bigint, length(kb)::bigint, 0::bigint from ab
+  union all select id, u.alo, u.ahi, u.blo, u.bhi, u.got from (select id, unnest([{'alo': alo, 'ahi': -b.i, 'blo': blo, 'bhi': -b.j, 'got': b.k}, {'alo': -b.i + b.k, 'ahi': ahi, 'blo': -b.j + b.k, 'bhi': bhi, 'got': 0}]) u
+    from (select s.id, alo, ahi, blo, bhi, max({'k': t.k, 'i': -t.i, 'j': -t.j}) b from seg s join tri t on t.id = s.id and t.i >= alo and t.i + t.k <= ahi and t.j >= blo and t.j + t.k <= bhi group by all)))
+  select id, sum(got) got from seg group by 1),"""
 _ALIKE = lambda least, where="true": rf"""
 , nm as (select distinct kb_id, entity_type, name, {_PLAIN('name')} k from m where {where}),
 g2 as (select name, g, count(*) c from (select name, unnest(case when length(k) > 1 then list_transform(range(1, length(k)), lambda i: k[i:i + 1]) else [k] end) g from (select distinct name, k from nm where k <> '')) group by 1, 2),
 no as (select name, sqrt(sum(c * c)) s from g2 group by 1),
 pr as (select row_number() over () id, x.kb_id, x.entity_type, x.name a, y.name b, x.k ka, y.k kb from nm x join nm y on y.kb_id = x.kb_id and y.entity_type = x.entity_type and x.name < y.name where x.k <> '' and y.k <> ''),
 ab as (select row_number() over () id, ka, kb from (select distinct ka, kb from pr where len(list_intersect(list_distinct(string_split(ka, '')), list_distinct(string_split(kb, '')))) > 0)),
-ij as (select id, ka, kb, i, unnest(range(0, length(kb))) j from (select id, ka, kb, unnest(range(0, length(ka))) i from ab)),
-tri as (select id, i, j, k from (select id, ka, kb, i, j, unnest(range(1, least(length(ka) - i, length(kb) - j) + 1)) k from ij where ka[i + 1] = kb[j + 1]) where ka[i + 1:i + k] = kb[j + 1:j + k]),
-bl as (with recursive seg(id, alo, ahi, blo, bhi, got) as (select id, 0::bigint, length(ka)::bigint, 0::bigint, length(kb)::bigint, 0::bigint from ab
-  union all select id, u.alo, u.ahi, u.blo, u.bhi, u.got from (select id, unnest([{{'alo': alo, 'ahi': -b.i, 'blo': blo, 'bhi': -b.j, 'got': b.k}}, {{'alo': -b.i + b.k, 'ahi': ahi, 'blo': -b.j + b.k, 'bhi': bhi, 'got': 0}}]) u
-    from (select s.id, alo, ahi, blo, bhi, max({{'k': t.k, 'i': -t.i, 'j': -t.j}}) b from seg s join tri t on t.id = s.id and t.i >= alo and t.i + t.k <= ahi and t.j >= blo and t.j + t.k <= bhi group by all)))
-  select id, sum(got) got from seg group by 1),
+{_BLOCKS}
 co as (select x.name a, y.name b, sum(x.c * y.c) d from g2 x join g2 y using (g) where x.name < y.name group by 1, 2),
 si as (select pr.kb_id, pr.entity_type, pr.a, pr.b, case when pr.ka = pr.kb then 1.0 else greatest(2.0 * coalesce(bl.got, 0) / (length(pr.ka) + length(pr.kb)), coalesce(co.d, 0) / (p.s * q.s)) end similarity
   from pr left join ab on ab.ka = pr.ka and ab.kb = pr.kb left join bl on bl.id = ab.id left join co on co.a = pr.a and co.b = pr.b join no p on p.name = pr.a join no q on q.name = pr.b),
 sim as (select * from si where similarity >= {least})
 """
 ORACLE_SQL = {
+    "graph_name_ratios": _N + f""", i0 as (select distinct id, {SQUEEZE('id')} s from n), i1 as (select id, case when regexp_extract(s, '{_STAGE}', 2) <> '' and regexp_replace(regexp_extract(s, '{_STAGE}', 1), '^{_MARKS}+|{_MARKS}+$', '', 'g') <> '' then regexp_replace(regexp_extract(s, '{_STAGE}', 1), '^{_MARKS}+|{_MARKS}+$', '', 'g') else s end b from i0),
+      ab as (select id, id ka, reverse(b) kb from i1), {_BLOCKS} fin as (select 1) select ab.id, round(2.0 * coalesce(got, 0) / greatest(length(ka) + length(kb), 1), 6) ratio from ab left join bl on bl.id = ab.id""",
     "graph_similar_names": _N + _ALIKE(0.8) + "select kb_id, entity_type, a, b, round(similarity, 6) similarity from sim",
     "graph_name_cosines": _N + rf""", i0 as (select distinct id, {SQUEEZE('id')} s from n), i1 as (select id, {_PLAIN('id')} p, case when regexp_extract(s, '{_STAGE}', 2) <> '' and regexp_replace(regexp_extract(s, '{_STAGE}', 1), '^{_MARKS}+|{_MARKS}+$', '', 'g') <> '' then regexp_replace(regexp_extract(s, '{_STAGE}', 1), '^{_MARKS}+|{_MARKS}+$', '', 'g') else s end b from i0),
       w as (select id, unnest(['id', 'plain', 'base']) which, unnest([id, p, b]) t from i1), g as (select id, which, g, count(*) c from (select id, which, unnest(case when length(t) > 1 then list_transform(range(1, length(t)), lambda i: t[i:i + 1]) when length(t) = 1 then [t] else [] end) g from w) group by 1, 2, 3),

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from spindle.engine import Config, Engine, KnowledgeBase
+from spindle.functions.predicates import stripped
 from spindle.operators import retrieval as R
+from spindle.operators.evaluation import review_sheet
 from spindle.operators.graph import keys_of, subgraph
+from spindle.plans.evaluation_queries import samples
 from spindle.plans.block_queries import W, blocks
 from spindle.plans.graph_queries import _N, chunks, edges, nodes
 from spindle.sources import files, parsers as S
-from spindle.session import table, written
+from spindle.session import keep, shared_dir, table, written
 
 TREE = '{"body": {"children": [{"$ref": "#/texts/0"}, {"$ref": "#/groups/0"}, {"$ref": "#/tables/0"}, {"$ref": "#/pictures/0"}]}, "groups": [{"children": [{"$ref": "#/texts/1"}]}], "texts": [{"label": "title", "orig": %s}, {"label": "formula", "orig": "x = 1"}], "tables": [{"data": [[1]], "caption": "t"}], "pictures": [{"caption": "p", "image": {"uri": "data:image/png;base64,AA=="}}]}'
 
@@ -88,6 +93,59 @@ def source_registry(spark, d):
     return files.knowledge_bases(listing, known).select("working_dir", "created_at")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    keep(path)
+    return path
+
+
+def _graphml(spark, d):
+    """A graph written as GraphML and read again; numbers stand for names, as those aren't one to a file."""
+    path = _folder(spark, "graphml")
+    n = nodes(spark, d).select(F.col("node_id").cast("string").alias("id"), "entity_type", "description")
+    e = edges(spark, d).select(F.concat_ws("/", "kb_id", "source").alias("source"), F.concat_ws("/", "kb_id", "target").alias("target"), F.col("edge_id").cast("string").alias("number"), F.col("relation_type").alias("keywords"), "weight")
+    files.write_graphml(n, e, path, ["entity_type", "description"], ["number", "keywords", "weight"])
+    return files.read_graphml(spark, path)
+
+
+def source_graphml_nodes(spark, d):
+    n = _graphml(spark, d)[0]
+    told = lambda k: stripped(F.coalesce(F.try_element_at("attributes", F.lit(k)), F.lit("")))
+    return n.select(F.col("id").cast("long").alias("node_id"), told("entity_type").alias("entity_type"), F.md5(told("description")).alias("said"))
+
+
+def source_graphml_edges(spark, d):
+    e = _graphml(spark, d)[1]
+    return e.select(F.col("attributes")["number"].cast("long").alias("edge_id"), stripped(F.col("source")).alias("source"), stripped(F.col("target")).alias("target"), stripped(F.col("relation_type")).alias("relation_type"), F.col("attributes")["weight"].cast("double").alias("weight"))
+
+
+def source_json_lines(spark, d):
+    """Samples written as JSON lines and read again."""
+    s = samples(spark, d, "question", "evidence", "quality")
+    path = _folder(spark, "lines")
+    files.write_json_lines(s, path)
+    return files.read_json_lines(spark, path, s.schema).select("id", F.md5(F.coalesce("question", F.lit(""))).alias("question"), F.coalesce(F.size("evidence"), F.lit(-1)).cast("long").alias("n"), F.col("quality.judge_score").alias("judge_score"))
+
+
+def source_sheet(spark, d):
+    """The review sheet written and read again."""
+    path = _folder(spark, "sheet")
+    files.write_review_sheet(review_sheet(samples(spark, d, "task_type", "modality", "question", "gold_answer", "evidence", "quality", "metadata")), path)
+    r = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+    r = r.toDF(*[c.lstrip("\ufeff") for c in r.columns])
+    return r.select("id", "status", F.coalesce("evidence_chunks", F.lit("")).alias("evidence_chunks"), "judge_score", F.coalesce("reasons", F.lit("")).alias("reasons"))
+
+
+def source_store(spark, d):
+    """The reference list written as a store of one object, and read again."""
+    t = table(spark, d, "canonical_types")
+    path = _folder(spark, "store")
+    one = t.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("canonical_id").cast("string").alias("k"), F.struct("kind", "name", "other_names").alias("v"))))).alias("value"))
+    one.write.text(path)
+    kind = T.StructType([t.schema["kind"], t.schema["name"], t.schema["other_names"]])
+    return files.read_store(spark, path, kind).select(F.col("key").cast("int").alias("canonical_id"), "kind", "name", F.array_join("other_names", "|").alias("other_names"))
+
+
 def _kb(spark: SparkSession, d: str) -> tuple[KnowledgeBase, DataFrame]:
     """Every third vector stands for a node, an edge or the first chunk of the node of its number."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
@@ -158,7 +216,7 @@ def search_focus(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    source_ocr, source_trees, source_html, source_markup, source_markdown, source_batch, source_batch_blocks, source_to_parse, source_registry,
+    source_ocr, source_trees, source_html, source_markup, source_markdown, source_batch, source_batch_blocks, source_to_parse, source_registry, source_graphml_nodes, source_graphml_edges, source_json_lines, source_sheet, source_store,
     search_mode_local, search_mode_global, search_mode_hybrid, search_mode_mix, search_mode_naive, search_whole_context, search_chunks_vector, search_one, search_focus,
 )}
 
@@ -189,6 +247,11 @@ ORACLE_SQL = {
     "source_batch": "with f as (select distinct file_path p from test4_content_list where file_path is not null and lower(regexp_extract(file_path, '(\\.[^./]+)$', 1)) = '.pdf') select count(*) n_files, count(*) filter (length(p) % 4 = 1) n_ok, count(*) filter (length(p) % 4 <> 1) n_failed, round(100.0 * count(*) filter (length(p) % 4 = 1) / count(*), 2)::double success_rate from f",
     "source_batch_blocks": "with f as (select distinct file_path p from test4_content_list where file_path is not null and length(file_path) % 4 = 1 and lower(regexp_extract(file_path, '(\\.[^./]+)$', 1)) = '.pdf') select p file_path, 0 block_idx, 'text' type, p as text, 0 page_idx from f union all select p, 1, 'table', null, 1 from f",
     "source_to_parse": "select distinct file_path from image_files where file_path is not null and file_path not in (select file_path from test4_content_list where file_path is not null and length(file_path) % 2 = 0)",
+    "source_graphml_nodes": f"select node_id, {_STRIP("coalesce(any_value(entity_type), '')")} entity_type, md5({_STRIP("coalesce(any_value(description), '')")}) said from graphnode where id is not null group by 1",
+    "source_graphml_edges": f"select edge_id, {_STRIP("concat_ws('/', any_value(kb_id), any_value(source))")} source, {_STRIP("concat_ws('/', any_value(kb_id), any_value(target))")} target, {_STRIP("coalesce(any_value(relation_type), '')")} relation_type, any_value(weight) weight from graphedge group by 1",
+    "source_json_lines": "select id, md5(coalesce(any_value(question), '')) question, coalesce(len(any_value(evidence)), -1) n, any_value(quality).judge_score judge_score from rejected group by 1",
+    "source_sheet": "select id, coalesce(q.status, '') status, array_to_string(list_transform(coalesce(e, []), lambda z: coalesce(z.chunk_id, '')), '|') evidence_chunks, coalesce(q.judge_score::varchar, '') judge_score, coalesce(array_to_string(q.reasons, '|'), '') reasons from (select id, any_value(quality) q, any_value(evidence) e from rejected group by 1)",
+    "source_store": "select canonical_id, kind, name, array_to_string(other_names, '|') other_names from canonical_types",
     "source_registry": "with n as (select kb_id, min(created_at) created_at from graphnode where kb_id is not null group by 1) select '/kb/' || kb_id working_dir, created_at from n where length(kb_id) % 2 = 0 or ord(kb_id[-1]) % 3 <> 0",
     "search_mode_local": _merged("lo") + _SHOW,
     "search_mode_global": _merged("go") + _SHOW,

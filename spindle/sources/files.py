@@ -6,7 +6,7 @@ from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from spindle.functions.text import file_name, suffix_of
+from spindle.functions.text import file_name, let, suffix_of
 from spindle.session import written
 
 BLOCK = T.StructType([
@@ -15,6 +15,8 @@ BLOCK = T.StructType([
     *[T.StructField(n, T.ArrayType(T.StringType())) for n in ("image_caption", "img_caption", "image_footnote", "img_footnote", "table_caption", "table_footnote")],
     *[T.StructField(n, T.StringType()) for n in ("table_body", "latex", "content")],
 ])
+#: Keys that GraphML files may declare.
+MOST_KEYS = 10_000
 #: Suffixes by kind of parser.
 SUFFIXES = {"pdf": [".pdf"], "image": [".png", ".jpg", ".jpeg", ".bmp", ".tiff", ".tif", ".gif", ".webp"], "office": [".doc", ".docx", ".ppt", ".pptx", ".xls", ".xlsx", ".html", ".htm"], "text": [".txt", ".md"]}
 
@@ -72,19 +74,25 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     kv = T.ArrayType(T.StructType([T.StructField("_key", T.StringType()), T.StructField("_VALUE", T.StringType())]))
     read = lambda tag, fields: spark.read.format("xml").option("rowTag", tag).schema(T.StructType(fields)).load(path)
     s = lambda n: T.StructField(n, T.StringType())
-    keys = read("key", [s("_id"), s("_attr.name")]).select(F.col("_id").alias("k"), F.col("`_attr.name`").alias("name"))
+    # declarations, not data: a few for each kind of element
+    declared = {r[0]: r[1] for r in read("key", [s("_id"), s("_attr.name")]).select("_id", "`_attr.name`").distinct().limit(MOST_KEYS + 1).collect()}
+    if len(declared) > MOST_KEYS:
+        raise ValueError(f"more than {MOST_KEYS} keys are declared")
+    names = F.create_map(*[F.lit(x) for kv in declared.items() for x in kv]) if declared else F.create_map().cast("map<string,string>")
     data = T.StructField("data", kv)
 
-    def attributes(df: DataFrame, ids: list[str]) -> DataFrame:
-        e = df.select(*ids, F.explode_outer("data").alias("d")).select(*ids, F.col("d._key").alias("k"), F.col("d._VALUE").alias("v")).join(keys, "k", "left")
-        pairs = F.filter(F.collect_list(F.when(F.col("name").isNotNull() & F.col("v").isNotNull(), F.struct("name", "v"))), lambda x: x.isNotNull())
-        return e.groupBy(*ids).agg(F.map_from_entries(pairs).alias("attributes"))
+    def attributes(df: DataFrame) -> DataFrame:
+        """Each element by itself, as several edges may join the same nodes; of an attribute given twice the last counts."""
+        told = F.transform(F.coalesce("data", F.array().cast(kv)), lambda d: F.struct(F.coalesce(F.try_element_at(names, d["_key"]), d["_key"]).alias("name"), d["_VALUE"].alias("v")))
+        told = F.filter(told, lambda x: x["name"].isNotNull() & x["v"].isNotNull())
+        last = let(told, lambda t: F.transform(F.array_distinct(F.transform(t, lambda x: x["name"])), lambda n: F.struct(n.alias("name"), F.element_at(F.filter(t, lambda x: x["name"] == n), -1)["v"].alias("v"))))
+        return df.withColumn("attributes", F.map_from_entries(last)).drop("data")
 
-    nodes = attributes(read("node", [s("_id"), data]).withColumnRenamed("_id", "id").filter(F.coalesce("id", F.lit("")) != ""), ["id"])
+    nodes = attributes(read("node", [s("_id"), data]).withColumnRenamed("_id", "id").filter(F.coalesce("id", F.lit("")) != ""))
     # the name that a node gives itself counts before its number
     own = F.trim(F.coalesce(F.try_element_at("attributes", F.lit("entity_id")), F.lit("")))
     nodes = nodes.withColumn("id", F.when(own != "", own).otherwise(F.col("id")))
-    edges = attributes(read("edge", [s("_source"), s("_target"), data]).withColumnRenamed("_source", "source").withColumnRenamed("_target", "target"), ["source", "target"])
+    edges = attributes(read("edge", [s("_source"), s("_target"), data]).withColumnRenamed("_source", "source").withColumnRenamed("_target", "target"))
     told = lambda k: F.nullif(F.trim(F.try_element_at("attributes", F.lit(k))), F.lit(""))
     return nodes, edges.withColumn("relation_type", F.coalesce(told("relation_type"), told("keywords"), F.lit("")))
 
