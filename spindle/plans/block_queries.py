@@ -117,6 +117,7 @@ _SAID = "case when type = 'text' then case when coalesce(text_level, 0) > 0 then
 _SHOWN = "case when coalesce(len({0}), 0) = 0 then 'None' else array_to_string({0}, ', ') end"
 _IMAGE = "chr(10) || 'Image Content Analysis:' || chr(10) || 'Image Path: ' || coalesce({0}, '') || chr(10) || 'Captions: ' || " + _SHOWN.format("image_caption") + " || chr(10) || 'Footnotes: ' || " + _SHOWN.format("image_footnote") + " || chr(10) || chr(10) || 'Visual Analysis: '"
 _IMAGE_ZH = "chr(10) || '图片内容分析：' || chr(10) || '图片路径：' || coalesce({0}, '') || chr(10) || '标注：' || " + _SHOWN.format("image_caption") + " || chr(10) || '脚注：' || " + _SHOWN.format("image_footnote") + " || chr(10) || chr(10) || '视觉分析：'"
+_GRID = "'Table Analysis:' || chr(10) || 'Image Path: ' || coalesce(img_path, '') || chr(10) || 'Caption: ' || " + _SHOWN.format("table_caption") + " || chr(10) || 'Structure: ' || coalesce(table_body, '') || chr(10) || 'Footnotes: ' || " + _SHOWN.format("table_footnote") + " || chr(10) || chr(10) || 'Analysis: '"
 _PAIR = lambda name, value: f"""case when {name} is not null then '"{name}": ' || {value} end"""
 _LIST = lambda c: f"'[' || array_to_string(list_transform({c}, lambda x: coalesce(to_json(x)::varchar, 'null')), ', ') || ']'"
 _ITEMS = _B + f""", it as (select *, row_number() over (partition by file_path order by block_idx, block_id) - 1 i from b where type <> 'text'),

@@ -115,8 +115,8 @@ def cleanup_whole(spark, d):
 
 
 def _chunked(df: DataFrame) -> DataFrame:
-    """Records as extracted from a chunk: that of their first key."""
-    return df.withColumn("chunk_id", F.get(C.keys_of("source_ids"), F.lit(0))).filter(F.col("chunk_id").isNotNull()).drop("kb_id")
+    """Records as extracted from a part of the text: that of the beginning of their first key, as few records here share a whole one."""
+    return df.withColumn("chunk_id", F.substring(F.get(C.keys_of("source_ids"), F.lit(0)), 1, 7)).filter(F.col("chunk_id").isNotNull()).drop("kb_id")
 
 
 def _pre(spark, d, typed: bool):
@@ -154,7 +154,7 @@ _KEPT = _Q((*O.core_types, *O.anchor_types, O.multimodal_type))
 
 def _graph(key: str) -> str:
     """CTEs of a graph whose nodes and edges are grouped by key: kb_id, or the chunk of the first key."""
-    chunk = f"(list_filter(flatten(list_transform(coalesce(source_ids, []), lambda s: list_transform(string_split(coalesce(s, ''), '<SEP>'), lambda x: trim(x)))), lambda x: x <> ''))[1]"
+    chunk = f"(list_filter(flatten(list_transform(coalesce(source_ids, []), lambda s: list_transform(string_split(coalesce(s, ''), '<SEP>'), lambda x: trim(x)))), lambda x: x <> ''))[1][1:7]"
     by = "kb_id" if key == "kb_id" else chunk
     drop = "" if key == "kb_id" else f" and not (consistent = '{O.multimodal_type}' and {_EMPTY('coalesce(description, chr(32))')})"
     return rf"""

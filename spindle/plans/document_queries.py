@@ -12,7 +12,7 @@ from spindle.operators import documents as D
 from spindle.operators.graph import keys_of
 from spindle.operators.records import latest_version
 from spindle.operators.references import normal_key
-from spindle.plans.block_queries import SQUEEZE, W, _ITEMS, blocks
+from spindle.plans.block_queries import SQUEEZE, W, _GRID, _IMAGE, _IMAGE_ZH, _ITEMS, blocks
 from spindle.plans.graph_queries import _Q, chunks, nodes
 from spindle.session import table
 
@@ -81,7 +81,7 @@ def chunk_kinds(spark, d):
     from spindle.operators.blocks import multimodal_chunks
 
     b = blocks(spark, d).filter(F.col("type").isin("image", "table"))
-    c = multimodal_chunks(b).select("chunk_id", "content").unionByName(multimodal_chunks(b, "zh").select("chunk_id", "content")).unionByName(chunks(spark, d).select("chunk_id", "content"))
+    c = multimodal_chunks(b).select("chunk_id", "content").unionByName(multimodal_chunks(b.filter("type = 'image'"), "zh").select("chunk_id", "content")).unionByName(chunks(spark, d).select("chunk_id", "content"))
     return c.distinct().withColumn("k", P.chunk_kind(F.col("content"))).select("chunk_id", "k.modality", "k.image_path", F.md5("k.table_html").alias("html"))
 
 
@@ -240,6 +240,11 @@ ORACLE_SQL = {
     "text_keys": _N + r" select node_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') split, coalesce(try_cast(nullif(regexp_replace(id, '\D', '', 'g'), '') as bigint), 0) number from (select node_id, id, list_concat(ks, ['x']) l from kk)",
     "text_tokens": _B + r""", t as (select block_id, text, length(text) - length(regexp_replace(text, '\p{Han}', '', 'g')) + len(regexp_extract_all(regexp_replace(text, '\p{Han}', ' ', 'g'), '[\p{L}\p{N}]+')) + length(regexp_replace(text, '[\s\p{L}\p{N}]', '', 'g')) n from b where type = 'text' and text is not null),
       h as (select *, regexp_extract(text, '^(?:\s*(?:\p{Han}|[0-9\p{L}\p{N}]+?(?:[^\p{L}\p{N}]|$)|[^\s\p{L}\p{N}])){0,8}', 0) x from t) select block_id, n n_tokens, text head from h where false""",
+    "chunk_kinds": _B + f""", tx as (select case when type = 'image' then {_IMAGE.format('img_path')} else {_GRID} end t from b where type in ('image', 'table') union all select {_IMAGE_ZH.format('img_path')} from b where type = 'image'),
+      al as (select 'chunk-' || md5(t) chunk_id, t from tx union select chunk_id, content from (select chunk_id, arg_max(content, ingested_at) content, arg_max(coalesce(is_deleted, false), ingested_at) gone from chunks group by 1) where not gone),
+      ki as (select chunk_id, coalesce(t, '') t, case when contains(t, '图片内容分析') or contains(t, 'Image Content Analysis') then 'image' when contains(t, '表格分析') or contains(t, 'Table Analysis') then 'table' when contains(t, '数学公式分析') or contains(t, 'Mathematical Equation Analysis') then 'equation' else 'text' end modality from al)
+      select chunk_id, modality, case when modality in ('image', 'table') then coalesce((regexp_extract_all(t, '(?i)(?:Image\\s*Path|图片路径)\\s*[:：]\\s*([^\\n\\r]*?\\.(?:jpg|jpeg|png|gif|bmp|webp|tiff|tif))', 1))[1], '') else '' end image_path,
+      md5(case when modality = 'table' then {_STRIP("regexp_extract(t, '(?s)(?:结构|Structure)[:：](.*)', 1)")} else '' end) html from ki""",
     "chunk_text_context": """with v as (select chunk_id, arg_max({'c': content, 'd': full_doc_id, 'i': chunk_order_index}, ingested_at) r from chunks group by 1), c as (select r.c content, r.d doc, r.i i from v), o as (select doc, i, min(content) content from c where doc is not null and i is not null group by 1, 2)
       select a.doc full_doc_id, a.i chunk_order_index, md5(coalesce(string_agg(b.content, chr(10) order by b.i) filter (trim(b.content) <> ''), '')) context from o a left join o b on b.doc = a.doc and b.i between a.i - 1 and a.i + 1 and b.i <> a.i group by 1, 2""",
     "image_noise": _IMGS + rf""", l as (select key, arg_max(coalesce(n_bytes, 0), ingested_at) n_bytes, arg_max(coalesce(is_deleted, false), ingested_at) gone from (select *, {_NORMAL('img_path')} key from image_files) group by 1),

@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.utils import is_remote
 
 #: The folder of this process where the cluster names none.
 _own: list[str] = []
@@ -77,9 +78,9 @@ def clean(spark: SparkSession) -> int:
 
 def ship(spark: SparkSession) -> str:
     """Sends this package to the executors, once a session, for clusters on which it isn't installed; the path of what was sent."""
-    sc = getattr(spark, "sparkContext", None) if not hasattr(spark, "client") else None
-    if sc is None:  # a session that only talks to a server has no files to send
+    if is_remote():  # a session that only talks to a server has no files to send
         return ""
+    sc = spark.sparkContext
     sent = getattr(sc, "_spindle", None)
     if sent is None:
         raw, root = io.BytesIO(), Path(__file__).resolve().parent
