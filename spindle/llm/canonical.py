@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.utils import is_remote
 
 #: Words before a value that say only what kind of value follows.
 LABELS = r"^\s*(?:type|label|kind|category|class|relation|name|类型|类别|关系|标签|名称)\s*[:=]\s*"
@@ -30,15 +31,16 @@ HAN = ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00))
 
 
 @lru_cache(maxsize=1)
-def _simplified() -> tuple[str, str]:
-    """Traditional characters and their simplified forms, by the transliteration that comes with the engine; none where it can't be reached."""
-    spark = SparkSession.getActiveSession()
+def _simplified(spark: SparkSession) -> tuple[str, str]:
+    """Traditional characters and their simplified forms, by the transliteration that comes with the engine. An error where it can't be reached: without it values would seem to mean no entry."""
+    if is_remote():
+        raise RuntimeError("traditional characters are simplified by the driver's engine, which a session that only talks to a server can't reach")
     try:
         rule = spark._jvm.com.ibm.icu.text.Transliterator.getInstance("Traditional-Simplified")
-    except Exception:  # noqa: BLE001
-        return "", ""
+    except Exception as e:
+        raise RuntimeError("the transliteration of traditional characters (ICU, among Spark's jars) can't be reached") from e
     chars = [chr(c) for a, b in HAN for c in range(a, b)]
-    pairs = [(x, y) for x, y in zip(chars, rule.transliterate("\n".join(chars)).split("\n")) if x != y and len(y) == 1]
+    pairs = [(x, y) for x, y in zip(chars, rule.transliterate("\n".join(chars)).split("\n"), strict=True) if x != y and len(y) == 1]
     return "".join(x for x, _ in pairs), "".join(y for _, y in pairs)
 
 
@@ -48,12 +50,12 @@ def _wide() -> tuple[str, str]:
     return "".join(map(chr, codes)) + "　", "".join(chr(c - 0xFEE0) for c in codes) + " "
 
 
-def cleaned(value: Column) -> Column:
-    """Lower case, half width, simplified, without hidden characters, label and number; camel case and marks become spaces."""
+def cleaned(value: Column, simple: tuple[str, str]) -> Column:
+    """Lower case, half width, simplified by the given characters, without hidden characters, label and number; camel case and marks become spaces."""
     v = F.regexp_replace(value, HIDDEN, "")
     v = F.translate(v, *_wide())
     v = F.regexp_replace(v, r"([a-z])([A-Z])", "$1 $2")
-    v = F.lower(F.translate(v, *_simplified()))
+    v = F.lower(F.translate(v, *simple))
     return F.regexp_replace(F.regexp_replace(v, NUMBERING, ""), LABELS, "")
 
 
@@ -64,9 +66,9 @@ def plain(part: Column) -> Column:
     return F.when(F.length(p) > 2, F.regexp_replace(p, r"(?<=\p{IsHan})类$", "")).otherwise(p)
 
 
-def parts(value: Column) -> Column:
+def parts(value: Column, simple: tuple[str, str]) -> Column:
     """The value's alternatives: what stands before, inside and beside brackets, strokes and slashes, and their concatenation."""
-    found = F.transform(F.split(cleaned(value), r"[()|/\[\]【】]"), plain)
+    found = F.transform(F.split(cleaned(value, simple), r"[()|/\[\]【】]"), plain)
     return F.array_distinct(F.filter(found, lambda p: p != ""))
 
 
@@ -144,11 +146,13 @@ def map_to_canonical(values: DataFrame, entries: DataFrame, least: float = 0.62)
     values has kind and value; entries has canonical_id, kind and names (all spellings). Null and
     blank values give no row. A value of marks alone, or one that resembles no name, gives 0. Ties
     go to the greater similarity of the whole, then to the smaller id. An empty list maps all to 0.
+    Where the rule for traditional characters can't be reached this is an error.
     """
+    simple = _simplified(values.sparkSession)
     names = (
         entries.select("canonical_id", "kind", F.explode("names").alias("name"))
         .filter(F.col("name").isNotNull())
-        .withColumn("name", F.explode(parts(F.col("name"))))
+        .withColumn("name", F.explode(parts(F.col("name"), simple)))
         .distinct()
     )
     name_words = names.withColumn("word", F.explode(tokens(F.col("name"))))
@@ -160,7 +164,7 @@ def map_to_canonical(values: DataFrame, entries: DataFrame, least: float = 0.62)
     weighed = weighed.join(norm, ["kind", "canonical_id", "name"])
 
     distinct = values.filter(F.length(F.regexp_replace("value", r"(?U)^\s+|\s+$", "")) > 0).select("kind", "value").distinct()
-    pieces = distinct.withColumn("part", F.explode(parts(F.col("value"))))
+    pieces = distinct.withColumn("part", F.explode(parts(F.col("value"), simple)))
     tokened = pieces.select("kind", "value", "part", F.explode(tokens(F.col("part"))).alias("token"))
     fixes = repaired(tokened, name_words)
     top = F.log(F.lit(1.0 + n))

@@ -2,9 +2,10 @@ import datetime as dt
 import re
 
 import numpy as np
+import pytest
 from spindle.llm.canonical import map_to_canonical, repaired, swap_distance
 from spindle.llm.pairs import SentenceEnds, broken_pairs, evidence_report, finalities, joined_edges, judged_pairs, length_limits, shortened_versions
-from spindle.llm import sampling
+from spindle.llm import canonical, sampling
 from spindle.llm.sampling import Source, deficits, sample_by_targets
 from spindle.session import written
 
@@ -174,6 +175,25 @@ def test_traditional_characters_of_any_word(spark):
     assert {r["value"]: r["canonical_id"] for r in map_to_canonical(v, e).collect()} == {"龜裂": 1, "鐵銹鬱": 2, "臺灣蟲害": 3}
 
 
+def test_a_rule_out_of_reach_is_no_result(spark, monkeypatch):
+    v = spark.createDataFrame([("k", "龜裂")], "kind string, value string")
+    e = spark.createDataFrame([(1, "k", ["龟裂"])], "canonical_id int, kind string, names array<string>")
+    canonical._simplified.cache_clear()
+    with monkeypatch.context() as m:  # the session is that of the values, whether or not one is active in this thread
+        m.setattr(type(spark), "getActiveSession", classmethod(lambda cls: None))
+        assert [r["canonical_id"] for r in map_to_canonical(v, e).collect()] == [1]
+    canonical._simplified.cache_clear()
+    with monkeypatch.context() as m:
+        m.setattr(type(spark), "_jvm", property(lambda self: None), raising=False)
+        with pytest.raises(RuntimeError, match="can't be reached"):
+            canonical._simplified(spark)
+    with monkeypatch.context() as m:
+        m.setattr(canonical, "is_remote", lambda: True)
+        with pytest.raises(RuntimeError, match="can't reach"):
+            map_to_canonical(v, e)
+    assert [r["canonical_id"] for r in map_to_canonical(v, e).collect()] == [1]  # a failure isn't kept
+
+
 def test_canonical_of_empty_tables(spark):
     v = spark.createDataFrame([("k", "a")], "kind string, value string")
     e = spark.createDataFrame([], "canonical_id int, kind string, names array<string>")
