@@ -1,8 +1,11 @@
 import datetime as dt
+import pickle
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from spindle.llm.encodings import PAIRS, EncodingModel, garbled, garbled_documents, restored
+from spindle.llm.encodings import PAIRS, EncodingModel, Tally, codes_of, garbled, garbled_documents, restored
 from spindle.llm.scanned import clean_scans
 
 T0 = dt.datetime(2024, 1, 1)
@@ -110,6 +113,34 @@ def test_documents(spark):
     assert garbled_documents(df.limit(0), "doc_id", "text").count() == 0
 
 
+GREEK = ["Μετά τη συγκομιδή τα άρρωστα φύλλα μαζεύονται και θάβονται βαθιά.", "Η υγρασία ευνοεί την ασθένεια και οι κηλίδες απλώνονται γρήγορα.", "Τα νεαρά φυτά ποτίζονται νωρίς το πρωί."]
+
+
+@pytest.mark.parametrize("pair", [("utf-8", "latin-1"), ("utf-8", "cp866")])
+def test_all_documents_are_in_the_model(spark, pair):
+    # a script that only long documents have
+    rows = [(i, t) for i, t in enumerate(corpus())] + [(1000 + i, " ".join(GREEK[(i + j) % 3] for j in range(100))) for i in range(12)]
+    bad = garbled(GREEK[0] + " " + GREEK[1], pair)
+    got = garbled_documents(spark.createDataFrame([*rows, (2000, bad)], "doc_id long, text string"), "doc_id", "text").collect()
+    assert [(r["doc_id"], r["restored"]) for r in got] == [(2000, GREEK[0] + " " + GREEK[1])]
+
+
+def test_words_counted_once_are_counted_whole():
+    texts = [*corpus(), *corpus()[:9], " a  b ", "\n c", "x\ty ~{ +é- \u3000中", *GREEK]
+    joined = "\n" + "\n".join(texts) + "\n"
+    one, other = Tally().add(texts[:100]), Tally().add(texts[100:])
+    rows = pa.Table.from_batches([one.rows(), other.rows()]).group_by(["part", "key"]).aggregate([("n", "sum")]).rename_columns(["part", "key", "n"])
+    for pair, (k, m) in zip([None, *PAIRS, "folded"], Tally.states(rows), strict=True):
+        codes = codes_of(joined if pair is None else joined.casefold() if pair == "folded" else garbled(joined, pair))
+        want = dict(zip(*(x.tolist() for x in np.unique(codes[:-1] << 21 | codes[1:], return_counts=True))))
+        assert dict(zip(k.tolist(), m.tolist())) == want, pair
+
+
+def test_a_model_that_was_sent(model):
+    texts = [garbled(t, p) for _, t in TEXTS for p in PAIRS[::9]]
+    assert pickle.loads(pickle.dumps(model)).repair_many(texts) == model.repair_many(texts)
+
+
 def scans(spark, rows):
     full = [(i, f, k, t, p, x, c, T0, "clash", 0) for i, f, k, t, p, x, c in rows]
     df = spark.createDataFrame(full, "block_id long, file_path string, block_idx int, type string, page_idx int, text string, image_caption array<string>, ingested_at timestamp_ntz, noise string, unit int")
